@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from .bpe import op9_byte_bpe
 from .mixing import OP6_SQL, op6_mix_sources
+from .quality import op5_quality_scores
 from .sharding import op3_feistel_shards
+from .simhash import op4_simhash_classes
 from .token_counts import op8_token_counts
+from .toxicity import op7_toxicity_scores
 
-QUERIES = {f.__name__: f for f in (op3_feistel_shards, op6_mix_sources, op8_token_counts, op9_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op3_feistel_shards, op4_simhash_classes, op5_quality_scores, op6_mix_sources, op7_toxicity_scores, op8_token_counts, op9_byte_bpe)}
 ORACLE_SQL = {"op6_mix_sources": OP6_SQL}
