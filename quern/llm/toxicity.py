@@ -3,8 +3,10 @@
 A text is the set of its hashed terms: lower-cased words and their longer
 prefixes (so that inflected forms share a term). The machine scores
 w0 + sum w_i + sum_{i<j} <v_i, v_j>, the pair part through (sum v)^2 - sum v^2,
-so that a pair of terms may weigh more than both alone. Hashes have 31 bits and
-only terms met in training are kept, so unknown words add nothing.
+so that a pair of terms may weigh more than both alone. Hashes have 31 bits.
+Only terms whose share of toxic training texts is far from the overall share
+are kept (a z test, at most MOST_TERMS of them): all others, most of which are
+names met once or twice, could only be learnt by heart.
 
 Training takes at most TRAIN_ROWS labelled rows (a documented bound of the
 fit); scoring covers every text whole. Null texts score as empty ones. Without
@@ -27,6 +29,7 @@ from pyspark.sql.types import DoubleType
 from .labelled import fold, training_rows
 
 TRAIN_ROWS, FACTORS, EPOCHS, BATCH, LEAST_DOCS = 12_000, 4, 12, 128, 4
+LEAST_Z, MOST_TERMS = 4.0, 4096
 PREFIXES = (5, 6, 7)
 _WORDS = re.compile(r"\w+").findall
 
@@ -45,11 +48,17 @@ def text_terms(text: str | None) -> np.ndarray:
 
 
 class FactorizationMachine:
-    """Weights of the terms met in at least LEAST_DOCS training texts."""
+    """Weights of the telling terms among those met in at least LEAST_DOCS training texts."""
 
     def fit(self, rows: list[np.ndarray], y: np.ndarray, factors: int = FACTORS, epochs: int = EPOCHS, seed: int = 5) -> FactorizationMachine:
-        terms, counts = np.unique(np.concatenate(rows), return_counts=True) if rows else (np.zeros(0, np.int64), np.zeros(0))
-        self.terms = terms[counts >= LEAST_DOCS]
+        every = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+        terms, inv, counts = np.unique(every, return_inverse=True, return_counts=True)
+        share = (y.sum() + 1) / (len(y) + 2)
+        toxic = np.bincount(inv, np.repeat(y, [len(r) for r in rows]), len(terms)) if rows else counts
+        z = np.abs(toxic - counts * share) / np.sqrt(np.maximum(counts * share * (1 - share), 1e-9))
+        z[counts < LEAST_DOCS] = 0
+        keep = np.argsort(-z, kind="stable")[:MOST_TERMS]
+        self.terms = np.sort(terms[keep[z[keep] >= LEAST_Z]])
         rng = np.random.default_rng(seed)
         self.w, self.v = np.zeros(len(self.terms)), rng.normal(0, 0.01, (len(self.terms), factors))
         rate = (y.sum() + 1) / (len(y) + 2)
