@@ -28,7 +28,7 @@ from pyspark.sql.types import DoubleType
 
 from .labelled import fold, training_rows
 
-TRAIN_ROWS, FACTORS, EPOCHS, BATCH, LEAST_DOCS = 12_000, 4, 12, 128, 4
+TRAIN_ROWS, FACTORS, EPOCHS, BATCH, LEAST_DOCS = 12_000, 4, 40, 128, 4
 LEAST_Z, MOST_TERMS = 4.0, 4096
 PREFIXES = (5, 6, 7)
 _WORDS = re.compile(r"\w+").findall
