@@ -61,9 +61,16 @@ def _with_sources(rows: DataFrame, per_source: DataFrame, n_sources: int) -> Dat
     return rows.join(side, rows["source"].eqNullSafe(side["_source"])).drop("_source")
 
 
-def mix(docs: DataFrame, weights=(5, 2, 1), cap: int = 3) -> DataFrame:
-    """Per document: size, source_size, target, copies and taken (= size * copies). Two actions."""
-    narrow = cut(docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"), doc_hash(F.col("doc_id"), F.col("text")).alias("_h")))
+def _sized(docs: DataFrame) -> DataFrame:
+    """Add the size in words and the hash to rows with doc_id, source and text."""
+    return docs.withColumn("size", F.size(words(F.col("text"))).cast("long")).withColumn("_h", doc_hash(F.col("doc_id"), F.col("text")))
+
+
+def thresholds(narrow: DataFrame, weights=(5, 2, 1), cap: int = 3) -> tuple[DataFrame, int]:
+    """Per source: source_size, target, copies of all its documents and the hash below which they get one more; and the number of sources.
+
+    ``narrow`` (source, size, _h) is read once a level. Some actions, each on a row per source.
+    """
     totals = cut(water_fill(narrow.groupBy("source").agg(F.sum("size").alias("source_size")), list(weights), cap))
     n_sources = totals.count()
     # Whole copies of every document, and the words left for one more copy of some.
@@ -87,12 +94,33 @@ def mix(docs: DataFrame, weights=(5, 2, 1), cap: int = 3) -> DataFrame:
         state = cut(state.withColumn("_prefix", F.when(done, F.shiftleft(F.col("_prefix") + 1, DIGIT_BITS)).otherwise(F.col("_b"))).withColumn("_last", F.col("_n")).drop("_b", "_before", "_n"))
     # One hash value is left at the threshold; it is taken if that comes nearer to the target.
     nearer = F.col("_last").isNotNull() & (2 * F.col("_budget") > F.col("_last"))
-    state = state.select("source", "source_size", "target", "_whole", (F.col("_prefix") + F.when(nearer, 1).otherwise(0)).alias("_threshold"))
-    out = _with_sources(narrow, state, n_sources)
+    return state.select("source", "source_size", "target", "_whole", (F.col("_prefix") + F.when(nearer, 1).otherwise(0)).alias("_threshold")), n_sources
+
+
+def apply_thresholds(sized: DataFrame, state: DataFrame, n_sources: int) -> DataFrame:
+    """Add source_size, target, copies and taken (= size * copies) to sized rows: a filter by hash, no exchange."""
+    out = _with_sources(sized, state, n_sources)
     copies = F.col("_whole") + F.when((F.col("size") > 0) & (F.col("_h") < F.col("_threshold")), 1).otherwise(0)
     return out.withColumn("copies", copies).withColumn("taken", F.col("size") * F.col("copies")).drop("_whole", "_threshold", "_h")
 
 
+def mix(docs: DataFrame, weights=(5, 2, 1), cap: int = 3) -> DataFrame:
+    """Per document: size, source_size, target, copies and taken."""
+    narrow = cut(_sized(docs.select("doc_id", "source", "text")).drop("text"))
+    return apply_thresholds(narrow, *thresholds(narrow, weights, cap))
+
+
+def mixed_documents(docs: DataFrame, weights=(5, 2, 1), cap: int = 3) -> DataFrame:
+    """The mix itself: every row of ``docs`` as often as the mix takes it."""
+    narrow = cut(_sized(docs.select("doc_id", "source", "text")).select("source", "size", "_h"))
+    sized = docs.withColumn("_words", F.size(words(F.col("text"))).cast("long")).withColumn("_h", doc_hash(F.col("doc_id"), F.col("text")))
+    state, n = thresholds(narrow, weights, cap)
+    side = state.withColumnRenamed("source", "_s").select("_s", "_whole", "_threshold")
+    out = sized.join(F.broadcast(side) if n <= BROADCAST_SOURCES else side, sized["source"].eqNullSafe(F.col("_s")))
+    copies = (F.col("_whole") + F.when((F.col("_words") > 0) & (F.col("_h") < F.col("_threshold")), 1).otherwise(0)).cast("int")
+    return out.withColumn("_copies", copies).where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+
+
 def op6_mix_sources(spark, sf_dir) -> DataFrame:
     from ..session import table
 
