@@ -1,11 +1,12 @@
 """SpotSigs fingerprints: chains of content words that follow common-word anchors.
 
 A text is lower-cased and reduced to its runs of letters. Words of four letters
-and more are content; shorter ones between two content words form a gap. Where
-the gap holds an anchor (a very common word of one of the supported languages),
-the gap and the two content words after it make one signature. The fingerprint
-is the set of signature hashes, ascending. A text without any anchored chain
-uses all its chains; one without chains is hashed whole.
+and more are content; the shorter ones before a content word, the last GAP of
+them, form its gap. Where the gap holds an anchor (a very common word of one of
+the supported languages), the gap, its content word and the next one make one
+signature. The fingerprint is the set of signature hashes, ascending. A text
+without any anchored chain uses all its chains; one without chains is hashed
+whole.
 
 Two fingerprints are compared by Jaccard similarity: 1 for two empty ones, 0 if
 one is empty. near_pairs() finds all similar pairs: sets are partitioned by
@@ -19,35 +20,53 @@ one; rows without a doc_id come last. An empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, number_rows
+from .common import cut
 
 ANCHORS = ("a", "an", "and", "in", "is", "it", "of", "the", "to", "was", "das", "der", "die", "ein", "ist", "und", "zu", "de", "des", "du", "et", "la", "le", "les", "un", "el", "en", "es", "los", "que", "y")
-CHAIN = r"(?:\p{L}{1,3} )*\p{L}{4,}"
-ANCHORED = rf"(?:^| )(?:{'|'.join(ANCHORS)}) "
+GAP = 8
+#: Bounded and possessive, so that matching neither recurses nor goes back.
+CHAIN = rf" (?:\p{{L}}{{1,3}}+ ){{0,{GAP}}}+\p{{L}}{{4,}}+"
+ANCHORED = f" (?:{'|'.join(ANCHORS)}) "
+BUCKETS = 8  # for each shuffle partition
+
+
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once, however often ``then`` uses it."""
+    return F.element_at(F.transform(F.array(value), then), 1)
 
 
 def signatures(text: Column) -> Column:
     """The fingerprint as an ascending array of distinct longs. ``text`` must not be null."""
-    plain = F.regexp_replace(F.lower(text), r"[^\p{L}]+", " ")
-    chains = F.regexp_extract_all(plain, F.lit(CHAIN), F.lit(0))
-    # Each chain carries its gap and first content word; the next one ends in the second.
-    both = F.zip_with(chains, F.slice(chains, F.lit(2), F.greatest(F.size(chains), F.lit(1))), lambda a, b: F.concat_ws(" ", a, F.substring_index(b, " ", -1)))
-    anchored = F.filter(both, lambda c: c.rlike(ANCHORED))
-    spots = F.when(F.size(anchored) > 0, anchored).when(F.size(both) > 0, both).when(F.length(text) > 0, F.array(F.lower(text))).otherwise(F.array().cast("array<string>"))
-    return F.array_sort(F.array_distinct(F.transform(spots, lambda s: F.xxhash64(s))))
+
+    def linked(chains: Column) -> Column:
+        # Each chain carries its gap and first content word; the next one ends in the second.
+        following = F.slice(chains, F.lit(2), F.greatest(F.size(chains), F.lit(1)))
+        return F.zip_with(chains, following, lambda a, b: F.concat_ws(" ", a, F.substring_index(b, " ", -1)))
+
+    def spots(every: Column, lowered: Column) -> Column:
+        whole = F.when(F.length(lowered) > 0, F.array(lowered)).otherwise(F.array().cast("array<string>"))
+        return _let(F.filter(every, lambda c: c.rlike(ANCHORED)), lambda anchored: F.when(F.size(anchored) > 0, anchored).when(F.size(every) > 0, every).otherwise(whole))
+
+    def found(lowered: Column) -> Column:
+        plain = F.concat(F.lit(" "), F.regexp_replace(lowered, r"[^\p{L}]+", " "))
+        return _let(F.regexp_extract_all(plain, F.lit(CHAIN), F.lit(0)), lambda chains: _let(linked(chains), lambda every: spots(every, lowered)))
+
+    return F.sort_array(F.array_distinct(F.transform(_let(F.lower(text), found), lambda s: F.xxhash64(s))))
 
 
 def spelled(sigs: Column) -> Column:
     """A fingerprint as text: 16 hex digits a signature."""
-    return F.array_join(F.transform(sigs, lambda x: F.lower(F.lpad(F.hex(x), 16, "0"))), "")
+    return F.lower(F.array_join(F.transform(sigs, lambda x: F.lpad(F.hex(x), 16, "0")), ""))
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    both = F.size(F.array_intersect(a, b))
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(both / (F.size(a) + F.size(b) - both).cast("double"))
+    total = F.size(a) + F.size(b)
+    return F.when(total == 0, 1.0).otherwise(_let(F.size(F.array_intersect(a, b)), lambda both: both / (total - both).cast("double")))
 
 
 def near_pairs(sets: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -72,28 +91,51 @@ def near_pairs(sets: DataFrame, threshold: float = 0.8) -> DataFrame:
     return full.withColumn("similarity", jaccard(F.col("sa"), F.col("sb"))).where(F.col("similarity") >= threshold - 1e-12).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"), "similarity")
 
 
+def _bucket(kd: Column, kth: Column, starts: list[tuple[int, int]]) -> tuple[Column, Column]:
+    """Place of the last of the ascending ``starts`` that is not beyond (kd, kth), by binary search; and, given that place as column ``at``, whether they are equal."""
+    ids, hashes = (F.split(F.lit(",".join(str(x[i]) for x in starts)), ",").cast("array<bigint>") for i in (0, 1))
+    steps = [F.lit(1 << i) for i in reversed(range((len(starts) - 1).bit_length()))]
+
+    def step(at: Column, by: Column) -> Column:
+        other = F.get(ids, at + by)
+        fits = (other < kd) | ((other == kd) & (F.get(hashes, at + by) <= kth))
+        return F.when((at + by < len(starts)) & fits, at + by).otherwise(at)
+
+    place = F.aggregate(F.array(*steps), F.lit(0), step) if steps else F.lit(0)
+    return place, (F.get(ids, F.col("at")) == kd) & (F.get(hashes, F.col("at")) == kth)
+
+
 def with_neighbours(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, n_chars, fingerprints of the text, of its edited text and of the next document. Several actions.
+    """Per row: doc_id, n_chars, sigs, edited (text), edited_sigs, next_sigs. Two actions on keys.
 
-    The order is settled on ids alone. Texts are exchanged once, by id; of the
-    next document only the code points that the edit takes and its fingerprint
-    travel further.
+    Rows are dealt once, by key ranges of neighbouring ids: some BUCKETS a
+    shuffle partition, whose first keys are a sample by hash of all keys (the
+    driver gets those and nothing else). The first row of each range is also
+    sent to the range before it, and that of the first to the last.
     """
+    spark = docs.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Ascending kd is descending doc_id; rows without an id sort last. Of one id, texts follow by hash.
+    kd = F.coalesce(F.bitwise_not(F.col("doc_id")), F.lit((1 << 63) - 1)).alias("kd")
     text = F.coalesce(F.col("text"), F.lit(""))
-    # Keys never null: rows without an id sort last and are told apart by text.
-    base = docs.select("doc_id", text.alias("text")).withColumn("kid", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("kth", F.xxhash64(F.col("doc_id").isNull(), "text"))
-    narrow = cut(base.select("kid", "kth", F.char_length("text").cast("long").alias("n_chars")))
-    numbered = number_rows(narrow.distinct(), [F.col("kid").desc(), F.col("kth").asc()], "at")
-    n, rows = numbered.count(), narrow.count()
-    after = numbered.select(F.col("kid").alias("nid"), F.col("kth").alias("nth"), F.pmod(F.col("at") - 1, F.lit(max(n, 1))).alias("at"))
-    asks = cut(numbered.join(after, "at").select(F.col("nid"), F.col("nth"), F.col("kid").alias("oid"), F.col("kth").alias("oth"), F.floor(F.col("n_chars") / 3).cast("int").alias("take")))
-    full = base.withColumn("sigs", signatures(F.col("text")))
-    gives = full.join(asks, (full["kid"] == asks["nid"]) & (full["kth"] == asks["nth"])).select(F.col("oid"), F.col("oth"), F.col("take"), F.expr("substring(text, 1, take)").alias("head"), F.col("sigs").alias("next_sigs"))
-    if rows != n:  # repeated rows would each answer
-        gives = gives.dropDuplicates(["oid", "oth"])
-    out = full.join(gives, (full["kid"] == gives["oid"]) & (full["kth"] == gives["oth"]))
-    size = F.char_length("text")
-    out = out.withColumn("n_chars", size.cast("long")).withColumn("edited", F.concat(F.expr("substring(text, 1, char_length(text) - take)"), F.col("head")))
+    base = docs.select("doc_id", text.alias("text")).select("doc_id", "text", kd, F.xxhash64(F.col("doc_id").isNull(), "text").alias("kth"))
+    keys = cut(base.select("kd", "kth"))
+    least = keys.agg(F.count(F.lit(1)).alias("rows"), F.min(F.struct("kd", "kth")).alias("k")).first()
+    every = max(1, least["rows"] // (BUCKETS * n))
+    sampled = keys.where(F.pmod(F.xxhash64("kd", "kth"), F.lit(every)) == 0).distinct().collect()
+    starts = sorted({(r["kd"], r["kth"]) for r in sampled} | ({tuple(least["k"])} if least["rows"] else {(0, 0)}))
+    place, first = _bucket(F.col("kd"), F.col("kth"), starts)
+    placed = base.withColumn("at", place)
+    here, before = (F.struct(b.cast("int").alias("bucket"), F.lit(g).alias("guest")) for b, g in ((F.col("at"), 0), (F.pmod(F.col("at") - 1, F.lit(len(starts))), 1)))
+    placed = placed.withColumn("to", F.explode(F.when(first, F.array(here, before)).otherwise(F.array(here)))).select("doc_id", "text", "kd", "kth", "to.*")
+    placed = placed.repartition(n, "bucket").withColumn("sigs", signatures(F.col("text")))
+    follows = F.lead(F.struct("text", "sigs")).over(Window.partitionBy("bucket").orderBy("guest", "kd", "kth"))
+    # Of repeated rows only the last is followed by another document.
+    same = Window.partitionBy("bucket", "guest", "kd", "kth")
+    out = placed.withColumn("next", follows).withColumn("next", F.last("next").over(same)).where("guest = 0")
+    out = out.withColumn("n_chars", F.char_length("text").cast("long")).withColumn("take", F.floor(F.col("n_chars") / 3).cast("int"))
+    edited = F.concat(F.expr("substring(text, 1, int(n_chars) - take)"), F.expr("substring(next.text, 1, take)"))
+    out = out.select("doc_id", "n_chars", "sigs", edited.alias("edited"), F.col("next.sigs").alias("next_sigs"))
     return out.withColumn("edited_sigs", signatures(F.col("edited")))
 
 
