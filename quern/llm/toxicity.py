@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from .common import cut
 from .labelled import fold, training_rows
 
 TRAIN_ROWS, FACTORS, EPOCHS, BATCH, LEAST_DOCS = 12_000, 4, 40, 128, 4
@@ -48,24 +49,18 @@ def text_terms(text: str | None) -> np.ndarray:
 
 
 class FactorizationMachine:
-    """Weights of the telling terms among those met in at least LEAST_DOCS training texts."""
-
-    def fit(self, rows: list[np.ndarray], y: np.ndarray, factors: int = FACTORS, epochs: int = EPOCHS, seed: int = 5) -> FactorizationMachine:
-        every = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-        terms, inv, counts = np.unique(every, return_inverse=True, return_counts=True)
-        share = (y.sum() + 1) / (len(y) + 2)
-        toxic = np.bincount(inv, np.repeat(y, [len(r) for r in rows]), len(terms)) if rows else counts
-        z = np.abs(toxic - counts * share) / np.sqrt(np.maximum(counts * share * (1 - share), 1e-9))
-        z[counts < LEAST_DOCS] = 0
-        keep = np.argsort(-z, kind="stable")[:MOST_TERMS]
-        self.terms = np.sort(terms[keep[z[keep] >= LEAST_Z]])
+    """Weights of the given terms."""
+
+    def fit(self, terms: np.ndarray, rows: list[np.ndarray], y: np.ndarray, factors: int = FACTORS, epochs: int = EPOCHS, seed: int = 5) -> FactorizationMachine:
+        """``terms``: ascending; ``rows``: for each text those of the terms that it has."""
+        self.terms = terms
         rng = np.random.default_rng(seed)
         self.w, self.v = np.zeros(len(self.terms)), rng.normal(0, 0.01, (len(self.terms), factors))
         rate = (y.sum() + 1) / (len(y) + 2)
         self.w0 = float(np.log(rate / (1 - rate)))
         if not len(self.terms) or y.min() == y.max():
             return self
-        index = [np.searchsorted(self.terms, r[np.isin(r, self.terms, assume_unique=True)]) for r in rows]
+        index = [np.searchsorted(self.terms, r) for r in rows]
         gw, gv, g0 = np.full(len(self.w), 1e-3), np.full(self.v.shape, 1e-3), 1e-3
         for _ in range(epochs):
             order = rng.permutation(len(y))
@@ -109,15 +104,32 @@ class FactorizationMachine:
         return score
 
 
+def telling_terms(sample: DataFrame) -> np.ndarray:
+    """The terms of ``sample`` (y, x) to keep, ascending: those of LEAST_Z and more, MOST_TERMS at most. An action."""
+    n, toxic = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0.0))).first()
+    share = (toxic + 1) / (n + 2)
+    met = sample.select("y", F.explode("x").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("toxic")).where(F.col("n") >= LEAST_DOCS)
+    z = F.abs(F.col("toxic") - F.col("n") * share) / F.sqrt(F.col("n") * (share * (1 - share)))
+    kept = met.select("term", z.alias("z")).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "term").limit(MOST_TERMS).collect()
+    return np.array(sorted(r["term"] for r in kept), dtype=np.int64)
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 3, held_out: int = 1, rows: int = TRAIN_ROWS) -> FactorizationMachine:
-    """Fit on the driver from the terms of at most ``rows`` texts. An action."""
+    """Fit on the driver from the telling terms of at most ``rows`` texts. Some actions.
+
+    Terms are counted on the executors; the driver gets MOST_TERMS terms at most
+    and which of them each text has.
+    """
 
     def termed(batches):
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "y": pdf["y"], "x": [text_terms(t).astype(np.int32) for t in pdf["text"]]})
 
-    got = training_rows(docs, labels, label, folds, held_out, rows).mapInPandas(termed, "doc_id long, y double, x array<int>").toPandas().sort_values("doc_id", kind="stable")
-    return FactorizationMachine().fit([np.asarray(r, dtype=np.int64) for r in got["x"]], got["y"].to_numpy(dtype=float))
+    sample = cut(training_rows(docs, labels, label, folds, held_out, rows).mapInPandas(termed, "doc_id long, y double, x array<int>"))
+    terms = telling_terms(sample)
+    known = F.split(F.lit(",".join(map(str, terms))), ",").cast("array<int>") if len(terms) else F.array().cast("array<int>")
+    got = sample.select("doc_id", "y", F.array_intersect("x", known).alias("x")).toPandas().sort_values("doc_id", kind="stable")
+    return FactorizationMachine().fit(terms, [np.sort(np.asarray(r, dtype=np.int64)) for r in got["x"]], got["y"].to_numpy(dtype=float))
 
 
 def score_toxicity(docs: DataFrame, model: FactorizationMachine, threshold: float = 0.7) -> DataFrame:
