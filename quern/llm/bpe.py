@@ -1,11 +1,12 @@
 """Byte-level BPE encoding and decoding with a segment tree of pair ranks.
 
 Each match of the split pattern is encoded by itself. A leaf per byte position
-holds the rank of the pair that starts there, inner nodes the least rank below;
-the leftmost least pair is found by one descent, and a merge updates at most
-three leaves (the grown pair, the one before it, the absorbed one), so a match
-of n bytes costs O(n log n) however long it is. Encodings of short matches are
-kept in a bounded cache in each Python worker.
+holds the rank of the pair that starts there and the position; a node holds the
+least of its FAN children, so the root names the leftmost least pair. A merge
+updates at most three leaves (the grown pair, the one before it, the absorbed
+one) and their ancestors, so a match of n bytes costs O(n log n) however long
+it is; one of up to FAN pairs is a single node. Encodings of short matches are
+kept in a cache of CACHE entries, which a Python worker keeps from task to task.
 
 Null texts are empty: 0 tokens, digests of the empty string.
 """
@@ -15,15 +16,15 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
+from itertools import chain
 
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE, CACHED_CHARS = 1 << 17, 64
-NONE = 1 << 40
+CACHE, CACHED_CHARS, FAN = 1 << 19, 64, 16
+NONE = 1 << 20  # beyond any rank
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -32,50 +33,49 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
 
 
-def merge_bytes(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+def byte_pairs(ranks: dict[bytes, int]) -> list[int]:
+    """The rank of each pair of bytes, at 256 * first + second."""
+    return [ranks.get(bytes((a, b)), NONE) for a in range(256) for b in range(256)]
+
+
+def merge_bytes(piece: bytes, ranks: dict[bytes, int], pairs: list[int]) -> list[int]:
     """The token ids of one match: merge the leftmost pair of least rank until none is left."""
     if (whole := ranks.get(piece)) is not None:
         return [whole]
-    n = len(piece)
-    size = 1 << max(0, n - 2).bit_length()
-    tree = [NONE] * (2 * size)
-    get = ranks.get
-    tree[size : size + n - 1] = [get(piece[i : i + 2], NONE) for i in range(n - 1)]
-    for i in range(size - 1, 0, -1):
-        a, b = tree[2 * i], tree[2 * i + 1]
-        tree[i] = a if a <= b else b
+    n, get = len(piece), ranks.get
+    bits = n.bit_length()
+    mask, none = (1 << bits) - 1, NONE << bits
+    leaves = [pairs[a << 8 | b] << bits | i for i, (a, b) in enumerate(zip(piece, piece[1:], strict=False))]
+    tree = [leaves]
+    while len(tree[-1]) > FAN:
+        below = tree[-1]
+        tree.append([min(below[k : k + FAN]) for k in range(0, len(below), FAN)])
+    top, inner = tree[-1], range(1, len(tree))
     end = list(range(1, n + 1))  # of the part that starts at a live position
-    before = list(range(-1, n - 1))
-
-    def put(i: int, rank: int) -> None:
-        i += size
-        tree[i] = rank
-        i >>= 1
-        while i:
-            a, b = tree[2 * i], tree[2 * i + 1]
-            least = a if a <= b else b
-            if tree[i] == least:
-                return
-            tree[i] = least
-            i >>= 1
-
-    while (least := tree[1]) != NONE:
-        i = 1
-        while i < size:
-            i *= 2
-            if tree[i] != least:
-                i += 1
-        i -= size
+    before = list(range(-1, n))
+    while (least := min(top)) < none:
+        i = least & mask
         j = end[i]  # the part absorbed
         stop = end[i] = end[j]
-        put(j, NONE) if j < n - 1 else None
         if stop < n:
             before[stop] = i
-            put(i, get(piece[i : end[stop]], NONE))
+            leaves[j] = none
+            leaves[i] = get(piece[i : end[stop]], NONE) << bits | i
         else:
-            put(i, NONE)
+            leaves[i] = none
+            if j < n - 1:
+                leaves[j] = none
         if (p := before[i]) >= 0:
-            put(p, get(piece[p:stop], NONE))
+            leaves[p] = get(piece[p:stop], NONE) << bits | p
+        if inner:
+            touched = (max(p, 0), i, j)
+            for level in inner:
+                below, here, done = tree[level - 1], tree[level], -1
+                touched = tuple(x // FAN for x in touched)
+                for k in touched:
+                    if k != done and k < len(here):
+                        here[k] = min(below[k * FAN : (k + 1) * FAN])
+                        done = k
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i : end[i]]])
@@ -83,31 +83,57 @@ def merge_bytes(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+class _Encodings(dict):
+    """Token ids by match. Misses are encoded; short ones are kept, until CACHE are and all are let go."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks, self.pairs = ranks, byte_pairs(ranks)
+
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        ids = tuple(merge_bytes(piece.encode("utf-8"), self.ranks, self.pairs))
+        if len(piece) <= CACHED_CHARS:
+            if len(self) >= CACHE:
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
 class Codec:
     """Encoder and decoder over one set of ranks."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks, self.tokens = ranks, {r: b for b, r in ranks.items()}
-        self.split = regex.compile(pattern).findall
-        self._cached = lru_cache(maxsize=CACHE)(self._piece)
-
-    def _piece(self, piece: str) -> tuple[int, ...]:
-        return tuple(merge_bytes(piece.encode("utf-8"), self.ranks))
+        self.tokens = {r: b for b, r in ranks.items()}
+        self.names = {r: str(r) for r in ranks.values()}
+        self.split, self.encodings = regex.compile(pattern).findall, _Encodings(ranks)
 
     def encode(self, text: str | None) -> list[int]:
-        out: list[int] = []
-        for piece in self.split(text or ""):
-            out += self._cached(piece) if len(piece) <= CACHED_CHARS else self._piece(piece)
-        return out
+        return list(chain.from_iterable(map(self.encodings.__getitem__, self.split(text or ""))))
+
+    def spell(self, ids) -> str:
+        """Decimal ids, joined by spaces."""
+        return " ".join(map(self.names.__getitem__, ids))
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
+_KEPT: dict[str, Codec] = {}
+
+
+def _kept_codec(key: str, ranks: dict[bytes, int], pattern: str) -> Codec:
+    """This process's codec of that key; a worker keeps one, the latest."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = Codec(ranks, pattern)
+    return _KEPT[key]
+
+
 def _codec_of(docs: DataFrame, ranks_path: str, pattern: str):
     """A broadcast of the ranks (bounded by the vocabulary), and what makes a codec of it on a worker."""
-    shared = docs.sparkSession.sparkContext.broadcast((load_ranks(ranks_path), pattern))
-    return lambda: Codec(*shared.value)
+    ranks = load_ranks(ranks_path)
+    key = hashlib.sha256(repr((sorted(ranks.items()), pattern)).encode()).hexdigest()
+    shared = docs.sparkSession.sparkContext.broadcast((ranks, pattern))
+    return lambda: _kept_codec(key, *shared.value)
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
@@ -147,7 +173,7 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
             rows = []
             for t in texts:
                 ids = codec.encode(t)
-                spelled = " ".join(map(str, ids)).encode()
+                spelled = codec.spell(ids).encode()
                 rows.append((len(ids), hashlib.sha256(spelled).hexdigest(), hashlib.sha256(codec.decode(ids)).hexdigest()))
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
