@@ -3,11 +3,15 @@
 Vectors are dealt to lists by k-means centroids (fitted on a bounded sample, in
 the space where largest inner product is least distance). Each query probes its
 nearest lists; how many is measured on the sample so that its own neighbours
-are found at RECALL. Within a list, rotated vectors are read in blocks of
-columns: after each block a candidate is abandoned when its partial inner
-product, plus EPSILON standard deviations of what the remaining columns can add
-under a random rotation, stays below the query's k-th best so far. Survivors
-are scored exactly on the original vectors in double precision.
+are found at RECALL. The nearest lists that hold enough rows for an answer are
+scanned exactly, so no query gets fewer than it should. In its other lists,
+rotated vectors are read in blocks of columns. Under a random rotation the first
+b of d columns of a pair with inner product s add up to s * b / d, with a known
+spread; after each block a candidate is abandoned when its partial sum is
+EPSILON spreads below what the bound would give, or when the norms rule it out.
+The bound is the query's (k + MARGIN)-th best so far, in the sample and in the
+lists scanned exactly. Survivors are scored on the original vectors in double
+precision.
 
 Every row is indexed. Of equal vectors only the k + 1 of least vec_id can be in
 any answer, so the others are set aside, which loses nothing. Lists are cut
@@ -32,8 +36,8 @@ from pyspark.sql import functions as F
 from .common import cut
 
 SAMPLE_ROWS, MOST_LISTS, LIST_ROWS = 20_000, 4096, 512
-BLOCK_ROWS, CHUNK_QUERIES, COLUMN_BLOCK, SEED_ROWS = 4096, 1024, 16, 256
-RECALL, EPSILON = 0.97, 3.0
+BLOCK_ROWS, CHUNK_QUERIES, COLUMN_BLOCK = 4096, 1024, 16
+RECALL, EPSILON, MARGIN = 0.97, 3.0, 10
 
 
 class ListIndex:
@@ -76,34 +80,55 @@ class ListIndex:
         """From queries to centroids, up to a term that is the same for all of a query's."""
         return 0.5 * (self.centroids**2).sum(1) - q @ self.centroids[:, :-1].T
 
-    def probed(self, q: np.ndarray, sizes: np.ndarray, least_rows: int) -> list[np.ndarray]:
-        """The lists each query probes: ``probes`` of them, more if they hold fewer than ``least_rows`` rows."""
+    def probed(self, q: np.ndarray, sizes: np.ndarray, least_rows: int, first_rows: int) -> tuple[list[np.ndarray], np.ndarray]:
+        """The lists each query probes: ``probes`` of them, more if they hold fewer than ``least_rows`` rows; and how many of them hold ``first_rows``."""
         order = np.argsort(self.distances(q), axis=1, kind="stable")
         held = np.cumsum(sizes[order], axis=1)
         n = np.maximum(self.probes, (held < least_rows).sum(1) + 1)
-        return [o[:m].astype(np.int32) for o, m in zip(order, n, strict=True)]
+        first = np.minimum((held < first_rows).sum(1) + 1, order.shape[1])
+        return [o[:m].astype(np.int32) for o, m in zip(order, np.maximum(n, first), strict=True)], first
 
 
-def scan(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray, rotation: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query position, row position, score) of the k best rows per query that the tests leave, best first."""
+def kth_best(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray, k: int, probed: list[np.ndarray] | None = None, lists: np.ndarray | None = None) -> np.ndarray:
+    """The k-th best score of each query among ``x``, its own row left out; -inf if there are fewer rows.
+
+    With ``lists``, those of ``x``, only rows in lists that the query probes count.
+    """
+    out = []
+    for i in range(0, len(q), 256):
+        s = np.where(qid[i : i + 256, None] == xid[None, :], -np.inf, q[i : i + 256] @ x.T)
+        if probed is not None:
+            for row, mine in zip(s, probed[i : i + 256], strict=True):
+                row[~np.isin(lists, mine)] = -np.inf
+        out.append(np.partition(s, s.shape[1] - k, axis=1)[:, -k] if s.shape[1] >= k else np.full(len(s), -np.inf))
+    return np.concatenate(out) if out else np.zeros(0)
+
+
+def scan(q: np.ndarray, qid: np.ndarray, bound: np.ndarray, x: np.ndarray, xid: np.ndarray, rotation: np.ndarray, k: int, exact: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query position, row position, score) of the k best rows per query, best first; unless ``exact``, of those that reach its ``bound`` and pass the tests."""
     d = x.shape[1]
-    rq, rx = q @ rotation, x @ rotation
-    own = qid[:, None] == xid[None, :]
-    seed = min(len(x), SEED_ROWS)
-    first = np.where(own[:, :seed], -np.inf, q @ x[:seed].T)
-    least = np.sort(first, axis=1)[:, -k] if seed >= k else np.full(len(q), -np.inf)
-    part, alive = np.zeros(own.shape), ~own
-    for a in range(0, d, COLUMN_BLOCK):
-        b = min(d, a + COLUMN_BLOCK)
-        rows, cols = alive.any(1), alive.any(0)
-        if not rows.any():
-            break
-        part[np.ix_(rows, cols)] += rq[rows, a:b] @ rx[cols, a:b].T
-        if b < d:
-            spread = np.linalg.norm(rq[:, b:], axis=1)[:, None] * np.linalg.norm(rx[:, b:], axis=1)[None, :]
-            # A hypothesis test, and never beyond what the norms allow.
-            alive &= part + spread * min(1.0, EPSILON / np.sqrt(d - b)) >= least[:, None] - 1e-9
-    alive &= part >= least[:, None] - 1e-9
+    alive = qid[:, None] != xid[None, :]
+    if exact:
+        part = q @ x.T
+    else:
+        rq, rx = q @ rotation, x @ rotation
+        part = np.zeros(alive.shape)
+        norms = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None, :]
+        cosine = np.clip(bound[:, None] / norms, -1, 1)
+        for a in range(0, d, COLUMN_BLOCK):
+            b = min(d, a + COLUMN_BLOCK)
+            rows, cols = alive.any(1), alive.any(0)
+            if not rows.any():
+                break
+            part[np.ix_(rows, cols)] += rq[rows, a:b] @ rx[cols, a:b].T
+            if b < d:
+                spread = norms * np.sqrt(b * (d - b) / (d * (d - 1) * (d + 2)) * (1 + cosine**2))
+                most = np.linalg.norm(rq[:, b:], axis=1)[:, None] * np.linalg.norm(rx[:, b:], axis=1)[None, :]
+                alive &= (part >= bound[:, None] * (b / d) - EPSILON * spread) & (part + most >= bound[:, None] - 1e-9)
+        alive &= part >= bound[:, None] - 1e-9
+    if part.shape[1] > k:
+        masked = np.where(alive, part, -np.inf)
+        alive &= masked >= np.partition(masked, part.shape[1] - k, axis=1)[:, [-k]] - 1e-9
     i, j = np.nonzero(alive)
     s = np.einsum("ij,ij->i", q[i], x[j])
     order = np.lexsort((xid[j], -s, i))
@@ -151,31 +176,50 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec
     held = {r["list"]: r["count"] for r in placed.groupBy("list").count().collect()}  # a row per list, MOST_LISTS at most
     sizes = np.array([held.get(i, 0) for i in range(lists)])
 
-    @F.pandas_udf("array<int>")
-    def probes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for vs in batches:
-            yield pd.Series(model.value.probed(np.array(vs.tolist()).reshape(-1, d), sizes, 20 * k), dtype=object)
+    x = np.array(sample["vec"].tolist())
+    known = spark.sparkContext.broadcast((x, sample["id"].to_numpy(), model.value.lists_of(x)))  # bounded like the sample
 
-    asked = cut(base.where(queries).withColumn("lists", probes("vec")))
-    per_list = {r["list"]: r["count"] for r in asked.select(F.explode("lists").alias("list")).groupBy("list").count().collect()}
-    plan = [(i, -(-held.get(i, 0) // BLOCK_ROWS), -(-n // CHUNK_QUERIES)) for i, n in sorted(per_list.items()) if held.get(i)]
-    if not plan:
-        return none
-    plan = F.broadcast(spark.createDataFrame(plan, "list int, blocks int, chunks int"))
-    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = asked.select("id", "vec", F.explode("lists").alias("list")).join(plan, "list").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).select("list", upto("blocks").alias("block"), "chunk", "id", "vec")
-    right = placed.join(plan, "list").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).select("list", "block", upto("chunks").alias("chunk"), "id", "vec")
+    @F.pandas_udf("lists array<int>, first int, bound double")
+    def probes(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for ids, vs in batches:
+            q = np.array(vs.tolist()).reshape(-1, d)
+            x, xid, own = known.value
+            mine, first = model.value.probed(q, sizes, 20 * k, k + MARGIN + 1)
+            yield pd.DataFrame({"lists": mine, "first": first.astype(np.int32), "bound": kth_best(q, ids.to_numpy(), x, xid, k + MARGIN, mine, own)})
+
+    asked = cut(base.where(queries).withColumn("p", probes("id", "vec")).select("id", "vec", "p.*"))
 
-    def scanned(a: pa.Table, b: pa.Table) -> pa.Table:
+    def scanned(a: pa.Table, b: pa.Table, exact: bool) -> pa.Table:
         qid, xid = np.asarray(a["id"].combine_chunks()), np.asarray(b["id"].combine_chunks())
         if not len(qid) or not len(xid):
             return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        i, j, s = scan(_matrix(a["vec"], d), qid, _matrix(b["vec"], d), xid, model.value.rotation, k)
+        i, j, s = scan(_matrix(a["vec"], d), qid, np.asarray(a["bound"].combine_chunks()), _matrix(b["vec"], d), xid, model.value.rotation, k + MARGIN, exact)
         return pa.table({"query_id": qid[i], "vec_id": xid[j], "score": s})
 
-    key = ["list", "block", "chunk"]
-    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(scanned, "query_id long, vec_id long, score double")
+    def found_in(probed: DataFrame, exact: bool) -> DataFrame | None:
+        """What the lists of ``probed`` (id, vec, bound, list) hold for their queries; per query and group of rows k + MARGIN at most."""
+        per_list = {r["list"]: r["count"] for r in probed.groupBy("list").count().collect()}  # a row per list
+        plan = [(i, -(-held.get(i, 0) // BLOCK_ROWS), -(-n // CHUNK_QUERIES)) for i, n in sorted(per_list.items()) if held.get(i)]
+        if not plan:
+            return None
+        plan = F.broadcast(spark.createDataFrame(plan, "list int, blocks int, chunks int"))
+        upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        left = probed.join(plan, "list").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).select("list", upto("blocks").alias("block"), "chunk", "id", "vec", "bound")
+        right = placed.join(plan, "list").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).select("list", "block", upto("chunks").alias("chunk"), "id", "vec")
+        key = ["list", "block", "chunk"]
+        return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(lambda a, b: scanned(a, b, exact), "query_id long, vec_id long, score double")
+
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    near = found_in(asked.select("id", "vec", "bound", F.explode(F.slice("lists", F.lit(1), F.col("first"))).alias("list")), True)
+    if near is not None:
+        near = cut(near.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + MARGIN))
+        kth = near.where(F.col("r") == k + MARGIN).select(F.col("query_id").alias("id"), F.col("score").alias("kth"))
+        asked = cut(asked.join(kth, "id", "left").withColumn("bound", F.greatest("bound", "kth")).drop("kth"))
+    rest = found_in(asked.select("id", "vec", "bound", F.explode(F.slice("lists", F.col("first") + 1, F.size("lists") - F.col("first"))).alias("list")), False)
+    parts = [x for x in (near.drop("r") if near is not None else None, rest) if x is not None]
+    if not parts:
+        return none
+    found = parts[0] if len(parts) == 1 else parts[0].union(parts[1])
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
