@@ -27,11 +27,20 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
     return spark
 
 
+#: Rows and bytes that a Python worker is sent at once. Rows hold whole texts, so the default of 10,000 rows has no useful bound.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+
+
 def share_code(spark: SparkSession) -> None:
-    """Let Python workers import this package when it is run from a checkout."""
+    """Let Python workers import this package when it is run from a checkout, and bound the batches they are sent."""
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(filter(None, [ROOT, env.get("PYTHONPATH", "")]))
+    env.setdefault("ARROW_DEFAULT_MEMORY_POOL", "system")  # workers outlive tasks; what a batch took goes back to the system
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = str(spark.conf.get(key)).lower().removesuffix("b")
+        if not now.lstrip("-").isdigit() or int(now) <= 0 or int(now) > most:
+            spark.conf.set(key, str(most))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
