@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.bpe import decode_documents, encode_documents
+from quern.llm.bpe import encode_and_decode
 from quern.llm.common import cut
 from quern.llm.mixing import mixed_documents
 from quern.llm.quality import fit_quality, score_quality
@@ -48,7 +48,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     share_code(spark)
     vocabulary = tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN
-    out = decode_documents(encode_documents(docs, *vocabulary), *vocabulary)
+    out = encode_and_decode(docs, *vocabulary)
     same = F.col("decoded") == F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     return out.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
 

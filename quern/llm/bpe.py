@@ -18,12 +18,13 @@ import hashlib
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE, CACHED_CHARS, FAN = 1 << 19, 64, 16
+CACHE, CACHED_CHARS, FAN = 1 << 17, 64, 16
 NONE = 1 << 20  # beyond any rank
 
 
@@ -144,7 +145,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFram
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         codec = make()
         for texts in batches:
-            yield pd.Series([codec.encode(t) for t in texts], dtype=object)
+            yield pd.Series([np.array(codec.encode(t), dtype=np.int32) for t in texts], dtype=object)
 
     return docs.withColumn("ids", ids(F.coalesce(F.col("text"), F.lit(""))))
 
@@ -157,11 +158,26 @@ def decode_documents(encoded: DataFrame, ranks_path: str, pattern: str) -> DataF
     def decoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         codec = make()
         for rows in batches:
-            yield pd.Series([codec.decode(r if r is not None else ()) for r in rows], dtype=object)
+            yield pd.Series([codec.decode(r.tolist() if r is not None else ()) for r in rows], dtype=object)
 
     return encoded.withColumn("decoded", decoded("ids"))
 
 
+def encode_and_decode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """Add ``ids`` and ``decoded``: both of the above in one pass, so that a task needs one worker and one codec."""
+    make = _codec_of(docs, ranks_path, pattern)
+
+    @F.pandas_udf("ids array<int>, decoded binary")
+    def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        codec = make()
+        for texts in batches:
+            ids = [np.array(codec.encode(t), dtype=np.int32) for t in texts]
+            yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "decoded": pd.Series([codec.decode(x.tolist()) for x in ids], dtype=object)})
+
+    out = docs.withColumn("_b", both(F.coalesce(F.col("text"), F.lit(""))))
+    return out.select(*docs.columns, "_b.*")
+
+
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """Add n_tokens and the digests of the ids and of the bytes decoded from them; ids stay in the worker."""
     make = _codec_of(docs, ranks_path, pattern)
