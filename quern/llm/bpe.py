@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE, CACHED_CHARS, FAN = 1 << 17, 64, 16
+CACHE, CACHED_CHARS, FAN = 1 << 18, 64, 16
 NONE = 1 << 20  # beyond any rank
 
 
