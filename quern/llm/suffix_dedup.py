@@ -132,6 +132,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     found = cut(suffixes(docs))
     me, first = F.struct("kid", "kth", "pos"), F.col("first")
     groups = found.groupBy("seed").agg(F.min(me).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    groups = cut(groups)  # as a table, so that the join below can be split where one seed is everywhere
     same = (F.col("kid") == first["kid"]) & (F.col("kth") == first["kth"])
     hits = found.join(groups, "seed").where(~same | (F.col("pos") >= first["pos"] + SEED)).select("kid", "kth", "pos", "first")
     doc = Window.partitionBy("kid", "kth").orderBy("pos")
