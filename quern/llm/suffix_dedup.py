@@ -1,19 +1,20 @@
 """Repeated passages by sparse suffixes at content-selected positions.
 
-Every window of STEP word positions keeps the one whose next GRAM words hash
-least (a minimiser), so two copies of a passage of LENGTH words keep the same
-positions. The suffix from a kept position is ordered by the hash of its first
-SEED = LENGTH - STEP + 1 words: suffixes that agree so far are neighbours in
-that order, and all are matched with the first of them by (doc_id, position),
-never pairwise. Matches that overlap or touch in a document form a run; the
-words before and after both sides of a run's ends are fetched and compared, so
-that the run extends left and right as far as the copies agree (at most STEP - 1
-words, or another kept position would have matched). Runs of LENGTH words and
-more are repeated passages; their first occurrence stays.
-
-Every passage of LENGTH words or more that occurred before is found if its
-first kept suffix is matched with that copy; runs are reported against the
-first occurrence of their end suffixes.
+Of every window of LENGTH words, the minimiser is the position among its first
+STEP whose next GRAM words hash least. Both copies of a window have it at the
+same place, so the SEED = LENGTH - STEP + 1 words from there (they lie within
+the window) agree as well: windows whose seed is unique don't repeat.
+
+Consecutive windows with one minimiser form a stretch. Stretches of the same
+words are one class, and its first holder by (doc_id, position) speaks for it.
+Where all stretches of a seed are of one class, that holder is the first
+occurrence of every window in them. Where a seed has several classes (the
+words around it differ), the windows of each class's first holder are hashed
+one by one, and the first holder of each hash is taken. Either way each window
+of each stretch gets its first occurrence in all documents: nothing is matched
+pairwise, and an earlier holder of a part of a passage hides no later one of
+the whole. Words in windows that occurred before are repeated; their first
+occurrence stays.
 
 A passage may repeat within one document if the two copies don't overlap. Null
 texts have no words. Null ids come last in order. Rows that share an id and a
@@ -76,16 +77,22 @@ def _gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
         return _mixed((total[n:] - total[:-n]) * down[: len(h) - n + 1])
 
 
-def kept_suffixes(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, seed hashes as signed longs) of the suffixes kept."""
+def stretches(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, numbers of windows, seed hashes, hashes of all words) of the stretches; hashes are signed longs."""
     h = _word_hashes(text)
     if len(h) < LENGTH:
-        return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        return np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
     seeds = _gram_hashes(h, SEED)
     grams = _gram_hashes(h, GRAM)[: len(seeds)]
     windows = np.lib.stride_tricks.sliding_window_view(grams, STEP)
-    at = np.unique(windows.argmin(axis=1) + np.arange(len(windows)))
-    return at.astype(np.int32), seeds[at].view(np.int64)
+    at = windows.argmin(axis=1) + np.arange(len(windows))
+    starts = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1])
+    sizes = np.diff(np.append(starts, len(at)))
+    # All words of a stretch are those of its first and last windows, which overlap.
+    whole = _gram_hashes(h, LENGTH)
+    with np.errstate(over="ignore"):
+        keys = _mixed(_mixed(whole[starts] + sizes.astype(_U)) + whole[starts + sizes - 1])
+    return starts.astype(np.int32), sizes.astype(np.int32), seeds[at[starts]].view(np.int64), keys.view(np.int64)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -94,68 +101,67 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def suffixes(docs: DataFrame) -> DataFrame:
-    """(seed, kid, kth, pos) of all kept suffixes."""
+    """(seed, key, kid, kth, start, windows) of all stretches; ``key`` is that of the class."""
 
     def kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = [kept_suffixes(t) for t in pdf["text"]]
-            sizes = [len(p) for p, _ in found]
+            found = [stretches(t) for t in pdf["text"]]
+            sizes = [len(x[0]) for x in found]
             if sum(sizes):
-                yield pd.DataFrame({"seed": np.concatenate([s for _, s in found]), "kid": np.repeat(pdf["kid"].to_numpy(), sizes), "kth": np.repeat(pdf["kth"].to_numpy(), sizes), "pos": np.concatenate([p for p, _ in found])})
+                start, windows, seed, key = (np.concatenate(x) for x in zip(*found, strict=True))
+                yield pd.DataFrame({"seed": seed, "key": key, "kid": np.repeat(pdf["kid"].to_numpy(), sizes), "kth": np.repeat(pdf["kth"].to_numpy(), sizes), "start": start, "windows": windows})
 
-    return _keyed(docs.select("doc_id", "text")).select("kid", "kth", "text").mapInPandas(kept, "seed long, kid long, kth int, pos int")
+    return _keyed(docs.select("doc_id", "text")).select("kid", "kth", "text").mapInPandas(kept, "seed long, key long, kid long, kth int, start int, windows int")
 
 
-def _contexts(docs: DataFrame, asks: DataFrame) -> DataFrame:
-    """Words outward from asked positions: (kid, kth, side, at, ctx) with up to STEP - 1 word hashes."""
+def _windows(docs: DataFrame, asks: DataFrame) -> DataFrame:
+    """(key, kid, kth, at, nth, win): hash and position of each window of the asked stretches (key, kid, kth, start, windows)."""
 
-    @F.pandas_udf("array<struct<side:int,at:int,ctx:array<int>>>")
+    @F.pandas_udf("array<struct<key:long,start:int,wins:array<long>>>")
     def fetch(texts: pd.Series, wanted: pd.Series) -> pd.Series:
         out = []
         for t, ws in zip(texts, wanted, strict=True):
-            h = (_word_hashes(t) >> _U(32)).astype(np.uint32).view(np.int32)
-            row = []
-            for x in ws:
-                side, at = x["side"], x["at"]
-                row.append({"side": side, "at": at, "ctx": h[at : at + STEP - 1].tolist() if side else h[max(0, at - STEP + 1) : at][::-1].tolist()})
-            out.append(row)
+            w = _gram_hashes(_word_hashes(t), LENGTH).view(np.int64)
+            out.append([{"key": x["key"], "start": x["start"], "wins": w[x["start"] : x["start"] + x["windows"]]} for x in ws])
         return pd.Series(out)
 
-    grouped = asks.distinct().groupBy(F.col("kid").alias("_i"), F.col("kth").alias("_t")).agg(F.collect_list(F.struct("side", "at")).alias("wanted"))
+    grouped = asks.groupBy(F.col("kid").alias("_i"), F.col("kth").alias("_t")).agg(F.collect_list(F.struct("key", "start", "windows")).alias("wanted"))
+    # Repeated rows give repeated windows, which the minima taken of them don't mind.
     d = _keyed(docs.select("doc_id", "text"))
     got = d.join(grouped, (F.col("kid") == F.col("_i")) & (F.col("kth") == F.col("_t")))
-    return got.select("kid", "kth", F.explode(fetch("text", "wanted")).alias("c")).select("kid", "kth", "c.side", "c.at", "c.ctx")
+    got = got.select("kid", "kth", F.explode(fetch("text", "wanted")).alias("c"))
+    return got.select("c.key", "kid", "kth", "c.start", F.posexplode("c.wins").alias("nth", "win")).select("key", "kid", "kth", (F.col("start") + F.col("nth")).alias("at"), "nth", "win")
 
 
-def repeated_passages(docs: DataFrame) -> DataFrame:
-    """(kid, kth, start, end, first_kid, first_kth, first_start): runs of words that occurred before. Several actions."""
+def _agreements(docs: DataFrame) -> DataFrame:
+    """(kid, kth, start, end, fid, fth, fat): spans of LENGTH words and more that agree with the first occurrence of their windows. Several actions."""
     found = cut(suffixes(docs))
-    me, first = F.struct("kid", "kth", "pos"), F.col("first")
-    groups = found.groupBy("seed").agg(F.min(me).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    groups = cut(groups)  # as a table, so that the join below can be split where one seed is everywhere
-    same = (F.col("kid") == first["kid"]) & (F.col("kth") == first["kth"])
-    hits = found.join(groups, "seed").where(~same | (F.col("pos") >= first["pos"] + SEED)).select("kid", "kth", "pos", "first")
-    doc = Window.partitionBy("kid", "kth").orderBy("pos")
-    runs = hits.withColumn("new", (F.col("pos") > F.coalesce(F.lag("pos").over(doc), F.lit(-(1 << 20))) + SEED).cast("int"))
-    runs = runs.withColumn("run", F.sum("new").over(doc))
-    runs = cut(runs.groupBy("kid", "kth", "run").agg(F.min(F.struct("pos", "first")).alias("a"), F.max(F.struct("pos", "first")).alias("b")))
-    left = runs.select("kid", "kth", "run", F.lit(0).alias("side"), F.col("a.pos").alias("at"), F.col("a.first.kid").alias("sid"), F.col("a.first.kth").alias("sth"), F.col("a.first.pos").alias("sat"))
-    right = runs.select("kid", "kth", "run", F.lit(1), F.col("b.pos") + SEED, F.col("b.first.kid"), F.col("b.first.kth"), F.col("b.first.pos") + SEED)
-    ends = left.union(right)
-    ctx = cut(_contexts(docs, ends.select("kid", "kth", "side", "at").union(ends.select("sid", "sth", "side", "sat"))).distinct())
-    own = ends.join(ctx, ["kid", "kth", "side", "at"]).withColumnRenamed("ctx", "mine")
-    theirs = ctx.select(F.col("kid").alias("sid"), F.col("kth").alias("sth"), "side", F.col("at").alias("sat"), F.col("ctx").alias("other"))
-    both = own.join(theirs, ["sid", "sth", "side", "sat"])
-    equal = F.zip_with("mine", "other", lambda x, y: F.coalesce(x == y, F.lit(False)))
-    stop = F.array_position(equal, False)
-    both = both.withColumn("more", F.when(stop == 0, F.size(equal)).otherwise(stop - 1).cast("int"))
-    # A left end may not run into its own first copy, nor before a text's start: contexts end there.
-    out = both.groupBy("kid", "kth", "run").agg(
-        F.max(F.when(F.col("side") == 0, F.col("at") - F.col("more"))).alias("start"),
-        F.max(F.when(F.col("side") == 1, F.col("at") + F.col("more"))).alias("end"),
-        F.max(F.when(F.col("side") == 0, F.struct("sid", "sth", (F.col("sat") - F.col("more")).alias("at")))).alias("f"),
-    )
-    return out.where(F.col("end") - F.col("start") >= LENGTH).select("kid", "kth", "start", "end", F.col("f.sid").alias("first_kid"), F.col("f.sth").alias("first_kth"), F.col("f.at").alias("first_start"))
+    seeds = found.groupBy("seed").agg(F.count(F.lit(1)).alias("n"), (F.min("key") == F.max("key")).alias("alike")).where("n > 1").drop("n")
+    seeds = cut(seeds)  # as a table, so that the join below can be split where one seed is everywhere; so with the others
+    live = cut(found.join(seeds, "seed").drop("seed"))
+    me = F.struct("kid", "kth", "start")
+    classes = cut(live.groupBy("key").agg(F.min(me).alias("first"), F.max("windows").alias("windows"), F.first("alike").alias("alike"), (F.min(me) != F.max(me)).alias("more")))
+    alike = classes.where("alike and more").select("key", F.lit(0).alias("lo"), (F.col("windows") - 1).alias("hi"), F.col("first.kid").alias("fid"), F.col("first.kth").alias("fth"), F.col("first.start").alias("base"))
+    each = cut(_windows(docs, classes.where("not alike").select("key", "first.*", "windows")))
+    firsts = cut(each.groupBy("win").agg(F.min(F.struct("kid", "kth", "at")).alias("f")))
+    parts = each.join(firsts, "win").groupBy("key", F.col("f.kid").alias("fid"), F.col("f.kth").alias("fth"), (F.col("f.at") - F.col("nth")).alias("base")).agg(F.min("nth").alias("lo"), F.max("nth").alias("hi"))
+    parts = cut(alike.unionByName(parts))
+    hits = live.join(parts, "key").select("kid", "kth", (F.col("start") + F.col("lo")).alias("start"), (F.col("start") + F.col("hi") + LENGTH).alias("end"), "fid", "fth", (F.col("base") + F.col("lo")).alias("fat"))
+    same = (F.col("kid") == F.col("fid")) & (F.col("kth") == F.col("fth"))
+    return hits.where(~same | (F.col("start") >= F.col("fat") + LENGTH))
+
+
+def repeated_passages(docs: DataFrame) -> DataFrame:
+    """(kid, kth, start, end, first_kid, first_kth, first_start): runs of words that occurred before. Several actions.
+
+    Spans that overlap or touch in a document are one run, reported against the first occurrence of its left end.
+    """
+    doc = Window.partitionBy("kid", "kth").orderBy("start", "end")
+    before = F.max("end").over(doc.rowsBetween(Window.unboundedPreceding, -1))
+    runs = _agreements(docs).withColumn("new", (F.col("start") > F.coalesce(before, F.lit(-1))).cast("int"))
+    runs = runs.withColumn("run", F.sum("new").over(doc.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    out = runs.groupBy("kid", "kth", "run").agg(F.min(F.struct("start", "fid", "fth", "fat")).alias("a"), F.max("end").alias("end"))
+    return out.select("kid", "kth", "a.start", "end", F.col("a.fid").alias("first_kid"), F.col("a.fth").alias("first_kth"), F.col("a.fat").alias("first_start"))
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:

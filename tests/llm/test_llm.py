@@ -106,6 +106,39 @@ def test_op2_finds_planted_passages_and_nothing_else(spark):
     assert all(left[d] == t for d, t in rows if d not in (2, 3))
 
 
+def _marked(rows):
+    """Words of each document that lie in a 50-word window that occurred before, by brute force."""
+    first, out = {}, {}
+    for d, t in sorted((d, t) for d, t in rows if t):
+        w = t.split()
+        out[d] = set()
+        for s in range(len(w) - 49):
+            f = first.setdefault(tuple(w[s : s + 50]), (d, s))
+            if f[0] != d or s >= f[1] + 50:
+                out[d] |= set(range(s, s + 50))
+    return out
+
+
+def _reported(spark, rows):
+    out = {d: set() for d, t in rows if t}
+    for r in suffix_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        out[r["kid"]] |= set(range(r["start"], r["end"]))
+    return out
+
+
+def test_op2_earlier_fragments_hide_no_passage(spark):
+    """Of each passage an earlier document holds 35 to 49 words, two later ones all; the words around differ."""
+    rng, rows = random.Random(12), []
+    for k in range(60):
+        passage = _prose(rng, rng.choice([50, 51, 55, 64, 80]))
+        n = rng.randint(35, 49)
+        at = rng.randint(0, len(passage) - n)
+        for i, part in enumerate((passage[at : at + n], passage, passage)):
+            rows.append((3 * k + i, " ".join(_prose(rng, rng.randint(5, 40)) + part + _prose(rng, rng.randint(5, 40)))))
+    want = _marked(rows)
+    assert _reported(spark, rows) == want and all(want[3 * k + 2] and not want[3 * k + 1] for k in range(60))
+
+
 def test_op2_edges(edge, empty):
     assert {r["doc_id"] for r in suffix_dedup.without_repeats(with_extra(edge)).select("doc_id").collect()} >= {1, 2, 3, 5, 6}
     assert suffix_dedup.repeated_passages(empty).count() == 0 and suffix_dedup.without_repeats(empty).count() == 0
