@@ -154,14 +154,15 @@ def _agreements(docs: DataFrame) -> DataFrame:
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """(kid, kth, start, end, first_kid, first_kth, first_start): runs of words that occurred before. Several actions.
 
-    Spans that overlap or touch in a document are one run, reported against the first occurrence of its left end.
+    A run agrees with one copy throughout: spans are joined only if both the copy and the offset to it are the same.
     """
-    doc = Window.partitionBy("kid", "kth").orderBy("start", "end")
+    copy = ["kid", "kth", "fid", "fth", "offset"]
+    doc = Window.partitionBy(*copy).orderBy("start", "end")
     before = F.max("end").over(doc.rowsBetween(Window.unboundedPreceding, -1))
-    runs = _agreements(docs).withColumn("new", (F.col("start") > F.coalesce(before, F.lit(-1))).cast("int"))
+    runs = _agreements(docs).withColumn("offset", F.col("start") - F.col("fat")).withColumn("new", (F.col("start") > F.coalesce(before, F.lit(-1))).cast("int"))
     runs = runs.withColumn("run", F.sum("new").over(doc.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    out = runs.groupBy("kid", "kth", "run").agg(F.min(F.struct("start", "fid", "fth", "fat")).alias("a"), F.max("end").alias("end"))
-    return out.select("kid", "kth", "a.start", "end", F.col("a.fid").alias("first_kid"), F.col("a.fth").alias("first_kth"), F.col("a.fat").alias("first_start"))
+    out = runs.groupBy(*copy, "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("fat").alias("first_start"))
+    return out.select("kid", "kth", "start", "end", F.col("fid").alias("first_kid"), F.col("fth").alias("first_kth"), "first_start")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:

@@ -139,6 +139,17 @@ def test_op2_earlier_fragments_hide_no_passage(spark):
     assert _reported(spark, rows) == want and all(want[3 * k + 2] and not want[3 * k + 1] for k in range(60))
 
 
+def test_op2_runs_agree_with_one_copy(spark):
+    """Short passages side by side and a repeated short line are no passage; two long ones side by side are two runs."""
+    rng = random.Random(13)
+    a, b, c, d, line = _prose(rng, 45), _prose(rng, 40), _prose(rng, 60), _prose(rng, 70), _prose(rng, 40)
+    parts = [a, b, a + b, c, d, c + d, line, line + line]
+    rows = [(i, " ".join(_prose(rng, 9) + p + _prose(rng, 9))) for i, p in enumerate(parts)]
+    assert _reported(spark, rows) == _marked(rows)
+    got = suffix_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["kid"], r["start"], r["end"], r["first_kid"], r["first_start"]) for r in got) == [(5, 9, 69, 3, 9), (5, 69, 139, 4, 9)]
+
+
 def test_op2_edges(edge, empty):
     assert {r["doc_id"] for r in suffix_dedup.without_repeats(with_extra(edge)).select("doc_id").collect()} >= {1, 2, 3, 5, 6}
     assert suffix_dedup.repeated_passages(empty).count() == 0 and suffix_dedup.without_repeats(empty).count() == 0
