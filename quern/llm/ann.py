@@ -18,14 +18,16 @@ any answer, so the others are set aside, which loses nothing. Lists are cut
 into blocks of rows, and their queries into chunks, of bounded size, so no task
 depends on how vectors crowd.
 
-Vectors that are null, zero, hold null or non-finite components, or differ from
-the most common length take no part; nor do rows without vec_id. Of rows that
-share a vec_id the least vector counts.
+Vectors that are null, zero or hold null or non-finite components take no part;
+nor do rows without vec_id. Of rows that share a vec_id the least vector counts.
+Vectors of each length are searched among their own kind: the most common one
+and those of more than BLOCK_ROWS rows by an index each, the others exactly.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -138,7 +140,7 @@ def scan(q: np.ndarray, qid: np.ndarray, bound: np.ndarray, x: np.ndarray, xid:
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(id, vec): one row of finite, non-zero doubles per id, all of the most common length."""
+    """(id, vec): one row of finite, non-zero doubles per id."""
     v = F.col(vec_col).cast("array<double>")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     good = vectors.where(F.col(id_col).isNotNull() & F.coalesce(fine, F.lit(False))).select(F.col(id_col).alias("id"), v.alias("vec"))
@@ -154,12 +156,34 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec
     """(query_id, rank, vec_id, score): for rows where ``queries`` (over ``id``) holds, their k best others. Several actions."""
     spark = vectors.sparkSession
     base = cut(usable(vectors, id_col, vec_col))
-    common = base.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
-    none = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if common is None:
-        return none
-    d = int(common["d"])
-    base = base.where(F.size("vec") == d)
+    lengths = base.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).collect()  # a row per length
+    large = [r["d"] for i, r in enumerate(lengths) if i == 0 or r["count"] > BLOCK_ROWS]
+    parts = [_nearest_of(base.where(F.size("vec") == d), queries, k, d) for d in large]
+    if len(large) < len(lengths):
+        parts.append(_nearest_in_small(base.where(~F.size("vec").isin(large)), queries, k))
+    parts = [p for p in parts if p is not None]
+    return reduce(DataFrame.union, parts) if parts else spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+
+
+def _nearest_in_small(base: DataFrame, queries: Column, k: int) -> DataFrame:
+    """The answers among vectors of lengths that BLOCK_ROWS rows at most have each: every pair of a length is scored."""
+
+    def answers(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, xid, found = np.array(pdf["vec"].tolist()), pdf["id"].to_numpy(), []
+        asked = np.flatnonzero(pdf["asked"].to_numpy(dtype=bool))
+        for at in range(0, len(asked), 256):
+            q = asked[at : at + 256]
+            i, j, s = scan(x[q], xid[q], np.full(len(q), -np.inf), x, xid, np.zeros((0, 0)), k, True)
+            found.append(pd.DataFrame({"query_id": xid[q][i], "rank": np.arange(len(i)) - np.searchsorted(i, i) + 1, "vec_id": xid[j], "score": s}))
+        return pd.concat(found) if found else pd.DataFrame({"query_id": [], "rank": [], "vec_id": [], "score": []})
+
+    rows = base.select("id", "vec", F.coalesce(queries, F.lit(False)).alias("asked"), F.size("vec").alias("d"))
+    return rows.groupBy("d").applyInPandas(answers, "query_id long, rank int, vec_id long, score double")
+
+
+def _nearest_of(base: DataFrame, queries: Column, k: int, d: int) -> DataFrame | None:
+    """The answers among vectors of one length ``d``; None if nothing is asked."""
+    spark = base.sparkSession
     same = Window.partitionBy(F.xxhash64("vec"), "vec").orderBy("id")
     index = cut(base.withColumn("r", F.row_number().over(same)).where(F.col("r") <= k + 1).drop("r"))
     rows, longest = index.agg(F.count(F.lit(1)), F.max(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x))).first()
@@ -218,7 +242,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec
     rest = found_in(asked.select("id", "vec", "bound", F.explode(F.slice("lists", F.col("first") + 1, F.size("lists") - F.col("first"))).alias("list")), False)
     parts = [x for x in (near.drop("r") if near is not None else None, rest) if x is not None]
     if not parts:
-        return none
+        return None
     found = parts[0] if len(parts) == 1 else parts[0].union(parts[1])
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -389,6 +389,23 @@ def test_op10_recall_and_whole_answers(spark):
         assert all(s == pytest.approx(float(np.dot(vectors[q], vectors[v])), abs=1e-9) for v, s in rows)
 
 
+def test_op10_searches_each_length_among_its_kind(spark, monkeypatch):
+    """Three lengths: the most common one, one with more than BLOCK_ROWS rows, and a small one."""
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 100)
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.normal(size=4 if i % 10 < 6 else 3 if i % 10 < 9 and i % 20 else 5).tolist()) for i in range(600)]
+    rows = [(i, v + [1.0] if i % 60 == 0 else v) for i, v in rows]
+    rows += [(20 * i, rng.normal(size=3).tolist()) for i in range(40, 45)]
+    got = _found(ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") % 20 == 0))
+    want = {}
+    for d in (3, 4, 5):
+        want |= _exact({i: v for i, v in rows if len(v) == d})
+    assert sum(len(v) == 3 for _, v in rows) > 100 and {len(v) for i, v in rows if i % 20 == 0} == {3, 4, 5}
+    assert got.keys() == want.keys() and all(len(v) == 20 for v in got.values())
+    small = [i for i, v in rows if i % 20 == 0 and len(v) == 5]
+    assert {q: [v for v, _ in got[q]] for q in small} == {q: want[q] for q in small}
+
+
 def test_op10_copies_ties_and_bad_vectors(spark):
     rows = [(i, [1.0, 0.0]) for i in range(200)] + [(200, [0.0, 0.0]), (220, None), (240, [float("nan"), 1.0]), (260, [1.0, None]), (280, [float("inf"), 0.0]), (300, [0.5, 0.5]), (None, [9.0, 9.0])]
     got = _found(ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") % 20 == 0))
