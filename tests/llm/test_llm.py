@@ -150,6 +150,20 @@ def test_op2_runs_agree_with_one_copy(spark):
     assert sorted((r["kid"], r["start"], r["end"], r["first_kid"], r["first_start"]) for r in got) == [(5, 9, 69, 3, 9), (5, 69, 139, 4, 9)]
 
 
+def test_op2_overlapping_fragments_are_no_passage(spark):
+    """Fragments of 45 words in two earlier documents overlap in a later one; longer ones are a run each."""
+    rng, rows = random.Random(14), []
+    for k in range(40):
+        n, size = (60, 45) if k % 2 else (90, 60)
+        passage = _prose(rng, n)
+        for i, part in enumerate((passage[:size], passage[n - size :], passage)):
+            rows.append((3 * k + i, " ".join(_prose(rng, 9) + part + _prose(rng, 9))))
+    assert _reported(spark, rows) == _marked(rows)
+    got = suffix_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    runs = sorted((r["kid"], r["start"], r["end"], r["first_kid"], r["first_start"]) for r in got)
+    assert runs == [x for k in range(0, 40, 2) for x in ((3 * k + 2, 9, 69, 3 * k, 9), (3 * k + 2, 39, 99, 3 * k + 1, 9))]
+
+
 def test_op2_edges(edge, empty):
     assert {r["doc_id"] for r in suffix_dedup.without_repeats(with_extra(edge)).select("doc_id").collect()} >= {1, 2, 3, 5, 6}
     assert suffix_dedup.repeated_passages(empty).count() == 0 and suffix_dedup.without_repeats(empty).count() == 0
