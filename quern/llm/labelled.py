@@ -12,13 +12,18 @@ def fold(doc_id: Column, folds: int) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, rows: int) -> DataFrame:
-    """(doc_id, text, y) of at most ``rows`` labelled documents outside the held-out fold.
+    """(doc_id, text, y) of the rows of at most ``rows`` labelled ids outside the held-out fold; ``bounded`` limits the rows of repeated ids.
 
-    The sample is the rows of least hash of the id: the same on every run, with
-    no regard to label or text. Ids labelled both ways count as 1. The join
-    broadcasts the sampled ids, of which there are at most ``rows``.
+    The sample is the ids of least hash: the same on every run, with no regard
+    to label or text. Ids labelled both ways count as 1. The join broadcasts the
+    sampled ids, of which there are at most ``rows``.
     """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), folds) != held_out))
     known = known.groupBy("doc_id").agg(F.max(label).cast("double").alias("y"))
     known = known.orderBy(F.xxhash64(F.col("doc_id"), F.lit(label)), "doc_id").limit(rows)
     return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
+
+
+def bounded(described: DataFrame, rows: int) -> DataFrame:
+    """At most ``rows`` of the described rows (doc_id, y, x): those of least hash. An id may bring many rows, so the bound is set after the join."""
+    return described.orderBy(F.xxhash64("doc_id", "x"), "doc_id", "x").limit(rows)

@@ -8,8 +8,11 @@ most of the remaining gradient get two-way tables in the same way. Scoring bins
 the features of a batch at once and adds table entries.
 
 Training takes at most TRAIN_ROWS labelled rows (a documented bound of the
-fit); scoring covers every text whole. Null texts score as empty ones. Without
-labels the score is 0.5 everywhere.
+fit), counted after repeated rows are joined; scoring covers every text whole.
+Null texts score as empty ones, repeated rows alike. Without labels the score is
+0.5 everywhere; an empty table gives an empty result. Columns of the input that
+are named ``score`` or ``predicted`` keep their values as ``score_input`` and
+``predicted_input``.
 """
 
 from __future__ import annotations
@@ -19,11 +22,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from .labelled import fold, training_rows
+from .common import added
+from .labelled import bounded, fold, training_rows
 
 TRAIN_ROWS = 12_000
 FEATURES = ("log_chars", "log_words", "word_chars", "upper", "digit", "punct", "symbol", "space", "distinct", "top_word", "repeat_next", "distinct_pairs", "log_lines", "repeated_lines", "line_words", "closed_lines", "bare_marks", "marked_ends", "long_word", "short_words")
@@ -157,22 +161,27 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", fold
             x = features_of(pdf["text"])
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "y": pdf["y"], "x": list(x)})
 
-    got = training_rows(docs, labels, label, folds, held_out, rows).mapInPandas(described, "doc_id long, y double, x array<double>").toPandas().sort_values("doc_id", kind="stable")
+    got = bounded(training_rows(docs, labels, label, folds, held_out, rows).mapInPandas(described, "doc_id long, y double, x array<double>"), rows).toPandas()
     x = np.array(got["x"].tolist(), dtype=float).reshape(-1, len(FEATURES))
     return AdditiveModel().fit(x, got["y"].to_numpy(dtype=float))
 
 
-def score_quality(docs: DataFrame, model: AdditiveModel, threshold: float = 0.3) -> DataFrame:
-    """Add ``score`` and ``predicted``. The model's tables are broadcast; their size is fixed."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def quality_of(spark, model: AdditiveModel, text: Column) -> Column:
+    """The score of a text column. The model's tables are broadcast; their size is fixed."""
+    shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf(DoubleType())
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series(shared.value.score(features_of(texts)))
 
-    out = docs.withColumn("score", score(F.coalesce(F.col("text"), F.lit(""))))
-    return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return score(F.coalesce(text, F.lit("")))
+
+
+def score_quality(docs: DataFrame, model: AdditiveModel, threshold: float = 0.3) -> DataFrame:
+    """Add ``score`` and ``predicted``."""
+    out = added(docs, score=quality_of(docs.sparkSession, model, F.col("text")))
+    return added(out, predicted=(F.col("score") >= threshold).cast("int"))
 
 
 def op5_quality_scores(spark, sf_dir) -> DataFrame:
