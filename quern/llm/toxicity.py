@@ -4,33 +4,41 @@ A text is the set of its hashed terms: lower-cased words and their longer
 prefixes (so that inflected forms share a term). The machine scores
 w0 + sum w_i + sum_{i<j} <v_i, v_j>, the pair part through (sum v)^2 - sum v^2,
 so that a pair of terms may weigh more than both alone. Hashes have 31 bits.
-Only terms whose share of toxic training texts is far from the overall share
-are kept (a z test, at most MOST_TERMS of them): all others, most of which are
-names met once or twice, could only be learnt by heart.
+
+Every term of the training texts has a weight and factors; how far they may
+move is a matter of evidence. The penalty of both falls with the number of
+texts that have the term (a name met once stays near zero), that of the weight
+also with how far the term's toxic share is from the overall share. The factors
+don't depend on the latter, so terms that tell only in pairs are learnt.
 
 Training takes at most TRAIN_ROWS labelled rows (a documented bound of the
-fit); scoring covers every text whole. Null texts score as empty ones. Without
-labels the score is that of the prior, 0.5.
+fit), counted after repeated rows are joined; scoring covers every text whole.
+Null texts score as empty ones, repeated rows alike. Without labels the score is
+that of the prior, 0.5; an empty table gives an empty result. Columns of the
+input that are named ``score`` or ``predicted`` keep their values as
+``score_input`` and ``predicted_input``.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from .common import cut
-from .labelled import fold, training_rows
+from .common import added
+from .labelled import bounded, fold, training_rows
 
-TRAIN_ROWS, FACTORS, EPOCHS, BATCH, LEAST_DOCS = 12_000, 4, 40, 128, 4
-LEAST_Z, MOST_TERMS = 4.0, 4096
+TRAIN_ROWS, FACTORS, STEPS, RATE = 12_000, 3, 50, 0.1
+#: Penalties of weights and factors; texts a term needs, and standard deviations its share is off (LEAST_OFF at least), for a penalty near that.
+RIDGE, FACTOR_RIDGE, SEEN, TOLD, LEAST_OFF = 0.1, 40.0, 8, 6.0, 1.0
 PREFIXES = (5, 6, 7)
 _WORDS = re.compile(r"\w+").findall
 
@@ -49,101 +57,107 @@ def text_terms(text: str | None) -> np.ndarray:
 
 
 class FactorizationMachine:
-    """Weights of the given terms."""
-
-    def fit(self, terms: np.ndarray, rows: list[np.ndarray], y: np.ndarray, factors: int = FACTORS, epochs: int = EPOCHS, seed: int = 5) -> FactorizationMachine:
-        """``terms``: ascending; ``rows``: for each text those of the terms that it has."""
-        self.terms = terms
-        rng = np.random.default_rng(seed)
-        self.w, self.v = np.zeros(len(self.terms)), rng.normal(0, 0.01, (len(self.terms), factors))
-        rate = (y.sum() + 1) / (len(y) + 2)
-        self.w0 = float(np.log(rate / (1 - rate)))
-        if not len(self.terms) or y.min() == y.max():
+    """Weights and factors of all terms met in training."""
+
+    def fit(self, rows: list[np.ndarray], y: np.ndarray, factors: int = FACTORS, steps: int = STEPS, seed: int = 5) -> FactorizationMachine:
+        """``rows``: the distinct hashed terms of each text. Penalised likelihood by full-batch steps."""
+        m = len(y)
+        self.key = uuid.uuid4().hex
+        self.terms, ids = np.unique(np.concatenate([*rows, np.zeros(0, dtype=np.int64)]), return_inverse=True)
+        n = len(self.terms)
+        self.w, self.v = np.zeros(n, np.float32), np.zeros((factors, n), np.float32)
+        share = (y.sum() + 1) / (m + 2)
+        self.w0 = float(np.log(share / (1 - share)))
+        if not n or y.min() == y.max():
             return self
-        index = [np.searchsorted(self.terms, r) for r in rows]
-        gw, gv, g0 = np.full(len(self.w), 1e-3), np.full(self.v.shape, 1e-3), 1e-3
-        for _ in range(epochs):
-            order = rng.permutation(len(y))
-            for at in range(0, len(order), BATCH):
-                batch = order[at : at + BATCH]
-                sizes = np.array([len(index[i]) for i in batch])
-                ids = np.concatenate([index[i] for i in batch])
-                row = np.repeat(np.arange(len(batch)), sizes)
-                vs = self.v[ids]
-                total = np.stack([np.bincount(row, vs[:, k], len(batch)) for k in range(vs.shape[1])], axis=1)
-                z = self.w0 + np.bincount(row, self.w[ids], len(batch)) + 0.5 * ((total**2).sum(1) - np.bincount(row, (vs**2).sum(1), len(batch)))
-                err = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[batch]
-                used, inv = np.unique(ids, return_inverse=True)
-                e = err[row]
-                dw = np.bincount(inv, e) + 2e-3 * self.w[used]
-                dv = np.stack([np.bincount(inv, e * (total[row, k] - vs[:, k])) for k in range(vs.shape[1])], axis=1) + 2e-2 * self.v[used]
-                gw[used] += dw**2
-                gv[used] += dv**2
-                g0 += err.sum() ** 2
-                self.w[used] -= 0.15 * dw / np.sqrt(gw[used])
-                self.v[used] -= 0.02 * dv / np.sqrt(gv[used])
-                self.w0 -= 0.15 * err.sum() / np.sqrt(g0)
+        self.v = np.random.default_rng(seed).normal(0, 0.02, (factors, n)).astype(np.float32)
+        row = np.repeat(np.arange(m), [len(r) for r in rows])
+        met = np.bincount(ids, minlength=n)
+        off = np.abs(np.bincount(ids, y[row], n) - met * share) / np.sqrt(met * share * (1 - share))
+        few = 1 + (SEEN / met) ** 2
+        penalties = [RIDGE * few * (1 + (TOLD / np.maximum(off, LEAST_OFF)) ** 4)] + [FACTOR_RIDGE * few] * factors
+        parts = [self.w, *self.v]
+        mean, square = [np.zeros(n) for _ in parts], [np.zeros(n) for _ in parts]
+        for step in range(1, steps + 1):
+            rate = RATE * min(1.0, 2 * (1 - step / (steps + 1)))
+            z = self.w0 + np.bincount(row, self.w[ids], m)
+            seen = [v[ids] for v in self.v]
+            totals = [np.bincount(row, s, m) for s in seen]
+            for s, t in zip(seen, totals, strict=True):
+                z += 0.5 * (t * t - np.bincount(row, s * s, m))
+            err = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
+            e = err[row]
+            slopes = [np.bincount(ids, e, n)] + [np.bincount(ids, e * (t[row] - s), n) for s, t in zip(seen, totals, strict=True)]
+            for x, g, penalty, a, b in zip(parts, slopes, penalties, mean, square, strict=True):
+                g += penalty * x
+                a += 0.1 * (g - a)
+                b += 0.02 * (g * g - b)
+                x -= rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.98**step)) + 1e-6)
+            self.w0 -= rate * err.sum() / (0.25 * m)
         return self
 
     def scorer(self):
         """A function from a text to its score."""
-        at = {int(t): i for i, t in enumerate(self.terms)}
-        cached = lru_cache(maxsize=1 << 17)(lambda w: tuple(at[t] for t in word_terms(w) if t in at))
+
+        @lru_cache(maxsize=1 << 17)
+        def known(word: str) -> tuple[int, ...]:
+            at = np.array(word_terms(word), dtype=np.int64)
+            i = np.searchsorted(self.terms, at)
+            return tuple(int(x) for x, t in zip(i, at, strict=True) if x < len(self.terms) and self.terms[x] == t)
 
         def score(text: str | None) -> float:
             ids: set[int] = set()
             for w in set(_WORDS((text or "").lower())):
-                ids.update(cached(w))
+                ids.update(known(w))
             z = self.w0
             if ids:
                 i = np.fromiter(sorted(ids), dtype=np.int64)
-                v = self.v[i]
-                z += self.w[i].sum() + 0.5 * ((v.sum(0) ** 2) - (v**2).sum(0)).sum()
+                v = self.v[:, i].astype(np.float64)
+                z += float(self.w[i].sum(dtype=np.float64)) + 0.5 * float((v.sum(1) ** 2 - (v**2).sum(1)).sum())
             return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
         return score
 
 
-def telling_terms(sample: DataFrame) -> np.ndarray:
-    """The terms of ``sample`` (y, x) to keep, ascending: those of LEAST_Z and more, MOST_TERMS at most. An action."""
-    n, toxic = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0.0))).first()
-    share = (toxic + 1) / (n + 2)
-    met = sample.select("y", F.explode("x").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("toxic")).where(F.col("n") >= LEAST_DOCS)
-    z = F.abs(F.col("toxic") - F.col("n") * share) / F.sqrt(F.col("n") * (share * (1 - share)))
-    kept = met.select("term", z.alias("z")).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "term").limit(MOST_TERMS).collect()
-    return np.array(sorted(r["term"] for r in kept), dtype=np.int64)
+_KEPT: dict = {}
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 3, held_out: int = 1, rows: int = TRAIN_ROWS) -> FactorizationMachine:
-    """Fit on the driver from the telling terms of at most ``rows`` texts. Some actions.
+def _kept_scorer(model: FactorizationMachine):
+    """This process's scorer of that model; a worker keeps one, the latest."""
+    if model.key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[model.key] = model.scorer()
+    return _KEPT[model.key]
 
-    Terms are counted on the executors; the driver gets MOST_TERMS terms at most
-    and which of them each text has.
-    """
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 3, held_out: int = 1, rows: int = TRAIN_ROWS) -> FactorizationMachine:
+    """Fit on the driver from the terms of at most ``rows`` texts. An action."""
 
     def termed(batches):
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "y": pdf["y"], "x": [text_terms(t).astype(np.int32) for t in pdf["text"]]})
 
-    sample = cut(training_rows(docs, labels, label, folds, held_out, rows).mapInPandas(termed, "doc_id long, y double, x array<int>"))
-    terms = telling_terms(sample)
-    known = F.split(F.lit(",".join(map(str, terms))), ",").cast("array<int>") if len(terms) else F.array().cast("array<int>")
-    got = sample.select("doc_id", "y", F.array_intersect("x", known).alias("x")).toPandas().sort_values("doc_id", kind="stable")
-    return FactorizationMachine().fit(terms, [np.sort(np.asarray(r, dtype=np.int64)) for r in got["x"]], got["y"].to_numpy(dtype=float))
+    got = bounded(training_rows(docs, labels, label, folds, held_out, rows).mapInPandas(termed, "doc_id long, y double, x array<int>"), rows).toPandas()
+    return FactorizationMachine().fit([np.asarray(r, dtype=np.int64) for r in got["x"]], got["y"].to_numpy(dtype=float))
 
 
-def score_toxicity(docs: DataFrame, model: FactorizationMachine, threshold: float = 0.7) -> DataFrame:
-    """Add ``score`` and ``predicted``. The broadcast model is bounded by the training sample."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def toxicity_of(spark, model: FactorizationMachine, text: Column) -> Column:
+    """The score of a text column. The broadcast model is bounded by the training sample."""
+    shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf(DoubleType())
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        one = shared.value.scorer()
+        one = _kept_scorer(shared.value)
         for texts in batches:
             yield pd.Series([one(t) for t in texts], dtype=float)
 
-    out = docs.withColumn("score", score(F.coalesce(F.col("text"), F.lit(""))))
-    return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return score(F.coalesce(text, F.lit("")))
+
+
+def score_toxicity(docs: DataFrame, model: FactorizationMachine, threshold: float = 0.7) -> DataFrame:
+    """Add ``score`` and ``predicted``."""
+    out = added(docs, score=toxicity_of(docs.sparkSession, model, F.col("text")))
+    return added(out, predicted=(F.col("score") >= threshold).cast("int"))
 
 
 def op7_toxicity_scores(spark, sf_dir) -> DataFrame:
