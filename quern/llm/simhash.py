@@ -5,7 +5,9 @@ Two fingerprints that differ in at most B bits, cut into M segments laid out as
 a ring, have a segment from which every chain of l consecutive segments differs
 in at most l*B/M bits. The longest chain whose budget is below one bit must be
 equal, so it is the join key; the remaining chains prune candidates before the
-full Hamming distance is taken.
+full Hamming distance is taken. Finer segments make that key longer (24, 28 or
+30 bits for 8, 16 or 32 segments and two bits), so their number follows the
+number of distinct fingerprints and buckets stay light at any size.
 
 Buckets of more than LIGHT distinct fingerprints are not paired: their members
 emit the 1 + 64 values within one bit of them. For B = 2, two fingerprints
@@ -14,7 +16,9 @@ holders of a value to the least of them loses no component and needs no pairs.
 Equal fingerprints are one node throughout, however many documents have them.
 
 Null and empty texts have fingerprint zero and are linked like any other.
-Repeated rows are linked; a group without any doc_id has a null component_id.
+Repeated rows are linked; a group without any doc_id has a null component_id. An
+empty table gives an empty result. Other columns are passed through whole by
+near_dedup, whatever their names, and don't appear in the result of assign.
 """
 
 from __future__ import annotations
@@ -28,10 +32,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import cut
+from .common import boxed, cut
 from .components import components
 
-SEGMENTS, BITS, LIGHT, SHINGLE, BLOCK = 8, 2, 64, 3, 1 << 15
+BITS, LIGHT, SHINGLE, BLOCK = 2, 64, 3, 1 << 15
+#: Numbers of segments, each with the number of distinct fingerprints up to which a bucket has some four of them.
+SEGMENTS = ((8, 1 << 26), (16, 1 << 30), (32, 1 << 62))
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -50,22 +56,22 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
 
 
-def with_fingerprint(docs: DataFrame) -> DataFrame:
-    """Add ``fp``, the fingerprint as a signed long."""
+def fingerprints(text: Column, shingle: int = SHINGLE) -> Column:
+    """The fingerprints of a text column as signed longs."""
 
     @F.pandas_udf(LongType())
     def fp(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series(np.array([fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64))
+            yield pd.Series(np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64).view(np.int64))
 
-    return docs.withColumn("fp", fp(F.coalesce(F.col("text"), F.lit(""))))
+    return fp(F.coalesce(text, F.lit("")))
 
 
 def _rotl(c: Column, bits: int) -> Column:
     return c if bits == 0 else F.shiftleft(c, bits).bitwiseOR(F.shiftrightunsigned(c, 64 - bits))
 
 
-def ring_links(fps: DataFrame, segments: int = SEGMENTS, bits: int = BITS) -> DataFrame:
+def ring_links(fps: DataFrame, segments: int, bits: int = BITS) -> DataFrame:
     """(u, v) links between distinct fingerprints ``fp`` with the same components as all pairs within ``bits``."""
     if bits != 2:
         raise ValueError("buckets beyond LIGHT are linked through one-bit neighbours, which is exact for two bits")
@@ -98,9 +104,11 @@ def assign(docs: DataFrame) -> DataFrame:
     ``text_hash`` tells rows of one doc_id apart; texts leave the scan only to
     be fingerprinted.
     """
-    narrow = cut(with_fingerprint(docs.select("doc_id", "text")).select("doc_id", F.xxhash64("text").alias("text_hash"), "fp"))
+    narrow = cut(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), fingerprints(F.col("text")).alias("fp")))
     fps = cut(narrow.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
-    roots = cut(components(ring_links(fps)))
+    n = fps.count()
+    segments = next(m for m, most in SEGMENTS if n <= most)
+    roots = cut(components(ring_links(fps, segments)))
     linked = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least_id")
     ids = linked.groupBy("root").agg(F.min("least_id").alias("component_id"))
     classes = linked.select("fp", "root").join(ids, "root")
@@ -108,11 +116,16 @@ def assign(docs: DataFrame) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each class: the least doc_id (rows without one last), then the least text hash."""
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
-    keep = assign(docs).groupBy("root").agg(first.alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_th"))
-    out = docs.withColumn("_h", F.xxhash64("text")).join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_th")), "left_semi")
-    return out.dropDuplicates(["doc_id", "_h"]).select(*docs.columns)
+    """``docs`` with one row of each class: the least doc_id (rows without one last), then the least text hash.
+
+    The rows to keep are chosen on narrow columns. Whole rows are exchanged once,
+    by the key of the join, which also brings repeated rows together.
+    """
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "text_hash"))
+    keep = assign(docs).groupBy("root").agg(first.alias("k")).select("k.none", "k.id", "k.text_hash")
+    key = ["none", "id", "text_hash"]
+    rows = boxed(docs, none=F.col("doc_id").isNull(), id=F.coalesce("doc_id", F.lit(0)), text_hash=F.xxhash64("text"))
+    return rows.join(keep, key, "left_semi").groupBy(*key).agg(F.first("row").alias("row")).select("row.*")
 
 
 def op4_simhash_classes(spark, sf_dir) -> DataFrame:
