@@ -1,24 +1,35 @@
-"""Repeated passages by sparse suffixes at content-selected positions.
+"""Repeated passages by a sorted array of sparse suffixes.
 
 Of every window of LENGTH words, the minimiser is the position among its first
 STEP whose next GRAM words hash least. Both copies of a window have it at the
 same place, so the SEED = LENGTH - STEP + 1 words from there (they lie within
-the window) agree as well: windows whose seed is unique don't repeat.
-
-Consecutive windows with one minimiser form a stretch. Stretches of the same
-words are one class, and its first holder by (doc_id, position) speaks for it.
-Where all stretches of a seed are of one class, that holder is the first
-occurrence of every window in them. Where a seed has several classes (the
-words around it differ), the windows of each class's first holder are hashed
-one by one, and the first holder of each hash is taken. Either way each window
-of each stretch gets its first occurrence in all documents: nothing is matched
-pairwise, and an earlier holder of a part of a passage hides no later one of
-the whole. Words in windows that occurred before are repeated; their first
-occurrence stays.
+the window) agree as well. Only the suffixes at minimisers are retained.
+
+The suffixes of all documents are sorted: by the hash of their seed, then by
+that of all words of the windows that have this minimiser (a stretch), then by
+place. Suffixes with a neighbour of the same seed are live; all others are in no
+repeated window and go. The sort is a range exchange on the whole key, place
+included, so a seed that is everywhere is split over many tasks.
+
+Matches are then extended left and right of the seed. Live suffixes with the
+same stretch agree throughout, and the first in order speaks for them. Where the
+words around a seed differ, each window (the seed, so many words to its left and
+the rest to its right) of a stretch's first holder is looked up by itself, and
+its first holder is taken. Either way each window gets its first occurrence in
+all documents: nothing is matched pairwise, and an earlier holder of a part of a
+passage hides no later one of the whole. Spans that agree with one copy at one
+offset are joined into runs. Words in windows that occurred before are repeated;
+their first occurrence stays.
+
+Windows are compared by 128 bits of two polynomial hashes with different bases,
+so that of 10^12 different windows two are alike with a chance of 10^-15; seeds
+have 64 bits, as nothing but the choice of candidates depends on them.
 
 A passage may repeat within one document if the two copies don't overlap. Null
-texts have no words. Null ids come last in order. Rows that share an id and a
-text are one document and get the same result.
+and empty texts have no words. Documents without an id come last in order and
+are told apart by 128 bits of their text. Rows that share an id and a text are
+one document and get the same result. An empty table gives an empty result.
+without_repeats passes other columns through whole, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,15 +38,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import boxed, cut
 
 LENGTH, STEP, GRAM = 50, 16, 5
 SEED = LENGTH - STEP + 1
-_BASE = 0x9E3779B97F4A7C15 | 1
+_BASES = 0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1
 _U = np.uint64
+SORT_BATCH = 20_000
 
 
 def _word_hashes(text: str | None) -> np.ndarray:
@@ -44,20 +58,19 @@ def _word_hashes(text: str | None) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, (text or "").encode("utf-8").split()), dtype=_U)
 
 
-def _powers(n: int, cache: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2^64."""
-    if len(cache.get("up", ())) < n:
-        size = max(n, 1 << 12)
-        with np.errstate(over="ignore"):
-            up = np.full(size, _BASE, dtype=_U)
-            up[0] = 1
-            down = np.full(size, pow(_BASE, -1, 1 << 64), dtype=_U)
-            down[0] = 1
-            cache["up"], cache["down"] = np.cumprod(up, dtype=_U), np.cumprod(down, dtype=_U)
-    return cache["up"][:n], cache["down"][:n]
+_CACHE: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-_CACHE: dict[str, np.ndarray] = {}
+def _powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2^64."""
+    if base not in _CACHE or len(_CACHE[base][0]) < n:
+        with np.errstate(over="ignore"):
+            up = np.full(max(n, 1 << 12), base, dtype=_U)
+            down = np.full(len(up), pow(base, -1, 1 << 64), dtype=_U)
+            up[0] = down[0] = 1
+            _CACHE[base] = np.cumprod(up, dtype=_U), np.cumprod(down, dtype=_U)
+    up, down = _CACHE[base]
+    return up[:n], down[:n]
 
 
 def _mixed(z: np.ndarray) -> np.ndarray:
@@ -67,120 +80,167 @@ def _mixed(z: np.ndarray) -> np.ndarray:
         return z ^ (z >> _U(31))
 
 
-def _gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
+def _gram_hashes(h: np.ndarray, n: int, which: int = 0) -> np.ndarray:
     """Hashes of all n-grams of word hashes, by prefix sums of a polynomial."""
     if len(h) < n:
         return np.zeros(0, dtype=_U)
-    up, down = _powers(len(h) + 1, _CACHE)
+    up, down = _powers(len(h) + 1, _BASES[which])
+    if which:
+        h = _mixed(h)
     with np.errstate(over="ignore"):
         total = np.concatenate([np.zeros(1, dtype=_U), np.cumsum(h * up[: len(h)], dtype=_U)])
         return _mixed((total[n:] - total[:-n]) * down[: len(h) - n + 1])
 
 
-def stretches(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, numbers of windows, seed hashes, hashes of all words) of the stretches; hashes are signed longs."""
+_NOTHING = np.zeros(0, np.int64)
+
+
+def stretches(text: str | None) -> tuple[np.ndarray, ...]:
+    """(starts, numbers of windows, seed hashes, two hashes of all words) of the stretches; hashes are signed longs."""
     h = _word_hashes(text)
     if len(h) < LENGTH:
-        return np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return (_NOTHING,) * 5
     seeds = _gram_hashes(h, SEED)
     grams = _gram_hashes(h, GRAM)[: len(seeds)]
     windows = np.lib.stride_tricks.sliding_window_view(grams, STEP)
     at = windows.argmin(axis=1) + np.arange(len(windows))
     starts = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1])
     sizes = np.diff(np.append(starts, len(at)))
-    # All words of a stretch are those of its first and last windows, which overlap.
-    whole = _gram_hashes(h, LENGTH)
-    with np.errstate(over="ignore"):
-        keys = _mixed(_mixed(whole[starts] + sizes.astype(_U)) + whole[starts + sizes - 1])
-    return starts.astype(np.int32), sizes.astype(np.int32), seeds[at[starts]].view(np.int64), keys.view(np.int64)
+    keys = []
+    for which in (0, 1):
+        # All words of a stretch are those of its first and last windows, which overlap.
+        whole = _gram_hashes(h, LENGTH, which)
+        with np.errstate(over="ignore"):
+            keys.append(_mixed(_mixed(whole[starts] + sizes.astype(_U)) + whole[starts + sizes - 1]).view(np.int64))
+    return starts, sizes, seeds[at[starts]].view(np.int64), *keys
+
 
+#: The key of a document: in order of doc_id, null last. 128 bits of the text tell rows without an id apart, and 64 bits rows of one id.
+DOC = ("none", "id", "th")
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """Add the document key (kid, kth): never null, ordered like doc_id."""
-    return docs.withColumn("kid", F.coalesce("doc_id", F.lit((1 << 63) - 1))).withColumn("kth", F.hash("text", F.col("doc_id").isNull()))
+
+def _doc_key() -> dict[str, Column]:
+    return {"none": F.col("doc_id").isNull(), "id": F.coalesce("doc_id", F.xxhash64("text", F.lit(1))), "th": F.xxhash64("text")}
 
 
 def suffixes(docs: DataFrame) -> DataFrame:
-    """(seed, key, kid, kth, start, windows) of all stretches; ``key`` is that of the class."""
+    """(seed, k1, k2, none, id, th, start, windows) of all retained suffixes; (k1, k2) is the hash of the stretch."""
 
     def kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             found = [stretches(t) for t in pdf["text"]]
             sizes = [len(x[0]) for x in found]
             if sum(sizes):
-                start, windows, seed, key = (np.concatenate(x) for x in zip(*found, strict=True))
-                yield pd.DataFrame({"seed": seed, "key": key, "kid": np.repeat(pdf["kid"].to_numpy(), sizes), "kth": np.repeat(pdf["kth"].to_numpy(), sizes), "start": start, "windows": windows})
+                start, windows, seed, k1, k2 = (np.concatenate(x) for x in zip(*found, strict=True))
+                yield pd.DataFrame({"seed": seed, "k1": k1, "k2": k2, **{c: np.repeat(pdf[c].to_numpy(), sizes) for c in DOC}, "start": start.astype(np.int32), "windows": windows.astype(np.int32)})
+
+    keyed = docs.select(*[v.alias(k) for k, v in _doc_key().items()], "text")
+    return keyed.mapInPandas(kept, "seed long, k1 long, k2 long, none boolean, id long, th long, start int, windows int")
 
-    return _keyed(docs.select("doc_id", "text")).select("kid", "kth", "text").mapInPandas(kept, "seed long, key long, kid long, kth int, start int, windows int")
+
+def live_suffixes(found: DataFrame) -> DataFrame:
+    """``found`` sorted, without suffixes whose neighbours both have another seed. An action.
+
+    The first and last of each range stay whatever their neighbours are: they
+    are few, and a suffix whose seed no other one has yields no match later.
+    """
+    order = ["seed", "k1", "k2", *DOC, "start"]
+    spark = found.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def with_neighbour(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the last row so far, and whether it is known to stay
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            seed = batch.column("seed").to_numpy()
+            same = np.concatenate([[held is None or held[1] == seed[0]], seed[1:] == seed[:-1]])
+            if held is not None and (held[2] or same[0]):
+                yield held[0]
+            stay = same.copy()
+            stay[:-1] |= same[1:]
+            yield batch.slice(0, batch.num_rows - 1).filter(pa.array(stay[:-1]))
+            held = batch.slice(batch.num_rows - 1), seed[-1], bool(stay[-1])
+        if held is not None:
+            yield held[0]
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(SORT_BATCH))  # narrow rows
+    try:
+        return cut(found.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(with_neighbour, found.schema))
+    finally:
+        spark.conf.set(key, before)
 
 
 def _windows(docs: DataFrame, asks: DataFrame) -> DataFrame:
-    """(key, kid, kth, at, nth, win): hash and position of each window of the asked stretches (key, kid, kth, start, windows)."""
+    """(k1, k2, none, id, th, at, nth, w1, w2): hash and position of each window of the asked stretches (k1, k2, none, id, th, start, windows)."""
 
-    @F.pandas_udf("array<struct<key:long,start:int,wins:array<long>>>")
+    @F.pandas_udf("array<struct<k1:long,k2:long,start:int,w1:array<long>,w2:array<long>>>")
     def fetch(texts: pd.Series, wanted: pd.Series) -> pd.Series:
         out = []
-        for t, ws in zip(texts, wanted, strict=True):
-            w = _gram_hashes(_word_hashes(t), LENGTH).view(np.int64)
-            out.append([{"key": x["key"], "start": x["start"], "wins": w[x["start"] : x["start"] + x["windows"]]} for x in ws])
+        for t, asked in zip(texts, wanted, strict=True):
+            h = _word_hashes(t)
+            w = [_gram_hashes(h, LENGTH, which).view(np.int64) for which in (0, 1)]
+            out.append([{"k1": x["k1"], "k2": x["k2"], "start": x["start"], "w1": w[0][x["start"] : x["start"] + x["windows"]], "w2": w[1][x["start"] : x["start"] + x["windows"]]} for x in asked])
         return pd.Series(out)
 
-    grouped = asks.groupBy(F.col("kid").alias("_i"), F.col("kth").alias("_t")).agg(F.collect_list(F.struct("key", "start", "windows")).alias("wanted"))
+    grouped = asks.groupBy(*DOC).agg(F.collect_list(F.struct("k1", "k2", "start", "windows")).alias("wanted"))
     # Repeated rows give repeated windows, which the minima taken of them don't mind.
-    d = _keyed(docs.select("doc_id", "text"))
-    got = d.join(grouped, (F.col("kid") == F.col("_i")) & (F.col("kth") == F.col("_t")))
-    got = got.select("kid", "kth", F.explode(fetch("text", "wanted")).alias("c"))
-    return got.select("c.key", "kid", "kth", "c.start", F.posexplode("c.wins").alias("nth", "win")).select("key", "kid", "kth", (F.col("start") + F.col("nth")).alias("at"), "nth", "win")
+    keyed = docs.select(*[v.alias(k) for k, v in _doc_key().items()], "text")
+    got = keyed.join(grouped, list(DOC)).select(*DOC, F.explode(fetch("text", "wanted")).alias("c"))
+    each = got.select("c.k1", "c.k2", *DOC, "c.start", F.posexplode(F.arrays_zip("c.w1", "c.w2")).alias("nth", "w"))
+    return each.select("k1", "k2", *DOC, (F.col("start") + F.col("nth")).alias("at"), "nth", "w.w1", "w.w2")
 
 
 def _agreements(docs: DataFrame) -> DataFrame:
-    """(kid, kth, start, end, fid, fth, fat): spans of LENGTH words and more that agree with the first occurrence of their windows. Several actions."""
-    found = cut(suffixes(docs))
-    seeds = found.groupBy("seed").agg(F.count(F.lit(1)).alias("n"), (F.min("key") == F.max("key")).alias("alike")).where("n > 1").drop("n")
-    seeds = cut(seeds)  # as a table, so that the join below can be split where one seed is everywhere; so with the others
-    live = cut(found.join(seeds, "seed").drop("seed"))
-    me = F.struct("kid", "kth", "start")
-    classes = cut(live.groupBy("key").agg(F.min(me).alias("first"), F.max("windows").alias("windows"), F.first("alike").alias("alike"), (F.min(me) != F.max(me)).alias("more")))
-    alike = classes.where("alike and more").select("key", F.lit(0).alias("lo"), (F.col("windows") - 1).alias("hi"), F.col("first.kid").alias("fid"), F.col("first.kth").alias("fth"), F.col("first.start").alias("base"))
-    each = cut(_windows(docs, classes.where("not alike").select("key", "first.*", "windows")))
-    firsts = cut(each.groupBy("win").agg(F.min(F.struct("kid", "kth", "at")).alias("f")))
-    parts = each.join(firsts, "win").groupBy("key", F.col("f.kid").alias("fid"), F.col("f.kth").alias("fth"), (F.col("f.at") - F.col("nth")).alias("base")).agg(F.min("nth").alias("lo"), F.max("nth").alias("hi"))
+    """(doc, start, end, first, first_start): spans of LENGTH words and more that agree with the first occurrence of their windows. Several actions."""
+    live = live_suffixes(cut(suffixes(docs)))
+    me = F.struct(*DOC, "start")
+    # Tables, so that the joins below can be split where one key is everywhere.
+    classes = cut(live.groupBy("seed", "k1", "k2").agg(F.min(me).alias("first"), F.max("windows").alias("windows"), (F.min(me) != F.max(me)).alias("more")))
+    seeds = cut(classes.groupBy("seed").agg((F.count(F.lit(1)) == 1).alias("alike")))
+    classes = cut(classes.join(seeds, "seed"))
+    doc = F.struct(*DOC)
+    alike = classes.where("alike and more").select("k1", "k2", F.lit(0).alias("lo"), (F.col("windows") - 1).alias("hi"), F.struct(*[F.col(f"first.{c}") for c in DOC]).alias("first"), F.col("first.start").alias("base"))
+    each = cut(_windows(docs, classes.where("not alike").select("k1", "k2", "first.*", "windows")))
+    firsts = cut(each.groupBy("w1", "w2").agg(F.min(F.struct(*DOC, "at")).alias("f")))
+    parts = each.join(firsts, ["w1", "w2"]).groupBy("k1", "k2", F.struct(*[F.col(f"f.{c}") for c in DOC]).alias("first"), (F.col("f.at") - F.col("nth")).alias("base")).agg(F.min("nth").alias("lo"), F.max("nth").alias("hi"))
     parts = cut(alike.unionByName(parts))
-    hits = live.join(parts, "key").select("kid", "kth", (F.col("start") + F.col("lo")).alias("start"), (F.col("start") + F.col("hi") + LENGTH).alias("end"), "fid", "fth", (F.col("base") + F.col("lo")).alias("fat"))
-    same = (F.col("kid") == F.col("fid")) & (F.col("kth") == F.col("fth"))
-    return hits.where(~same | (F.col("start") >= F.col("fat") + LENGTH))
+    hits = live.join(parts, ["k1", "k2"]).select(doc.alias("doc"), (F.col("start") + F.col("lo")).alias("start"), (F.col("start") + F.col("hi") + LENGTH).alias("end"), "first", (F.col("base") + F.col("lo")).alias("first_start"))
+    # Repeated rows of one document give repeated spans, which go before anything is gathered by document.
+    return hits.where((F.col("doc") != F.col("first")) | (F.col("start") >= F.col("first_start") + LENGTH)).distinct()
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
-    """(kid, kth, start, end, first_kid, first_kth, first_start): runs of words that occurred before. Several actions.
+    """(doc, start, end, first, first_start): runs of words that occurred before; ``doc`` and ``first`` are (none, id, th). Several actions.
 
     A run agrees with one copy throughout: spans are joined only if both the copy and the offset to it are the same.
     """
-    copy = ["kid", "kth", "fid", "fth", "offset"]
-    doc = Window.partitionBy(*copy).orderBy("start", "end")
-    before = F.max("end").over(doc.rowsBetween(Window.unboundedPreceding, -1))
-    runs = _agreements(docs).withColumn("offset", F.col("start") - F.col("fat")).withColumn("new", (F.col("start") > F.coalesce(before, F.lit(-1))).cast("int"))
-    runs = runs.withColumn("run", F.sum("new").over(doc.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    out = runs.groupBy(*copy, "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("fat").alias("first_start"))
-    return out.select("kid", "kth", "start", "end", F.col("fid").alias("first_kid"), F.col("fth").alias("first_kth"), "first_start")
+    copy = ["doc", "first", "offset"]
+    along = Window.partitionBy(*copy).orderBy("start", "end")
+    before = F.max("end").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    runs = _agreements(docs).withColumn("offset", F.col("start") - F.col("first_start")).withColumn("new", (F.col("start") > F.coalesce(before, F.lit(-1))).cast("int"))
+    runs = runs.withColumn("run", F.sum("new").over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    out = runs.groupBy(*copy, "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("first_start").alias("first_start"))
+    return out.select("doc", "start", "end", "first", "first_start")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` with repeated passages cut out; n_chars follows. Documents of which nothing is left go. Several actions."""
-    spans = repeated_passages(docs).groupBy(F.col("kid").alias("_i"), F.col("kth").alias("_t")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_spans"))
+    """``docs`` with repeated passages cut out; n_chars follows. Documents of which nothing but white space is left go. Several actions."""
+    spans = repeated_passages(docs).groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans")).select("doc.*", "spans")
 
-    @F.pandas_udf("string")
     def cut_out(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([t if s is None or not len(s) else excise(t, [(x["start"], x["end"]) for x in s]) for t, s in zip(texts, spans, strict=True)], dtype=object)
+        return pd.Series([None if s is None else excise(t, [(x["start"], x["end"]) for x in s]) for t, s in zip(texts, spans, strict=True)], dtype=object)
 
-    keyed = _keyed(docs)
-    out = keyed.join(spans, (F.col("kid") == F.col("_i")) & (F.col("kth") == F.col("_t")), "left").withColumn("_new", cut_out("text", "_spans"))
-    out = out.where(F.col("_spans").isNull() | (F.length(F.trim("_new")) > 0))
-    changed = F.col("_spans").isNotNull()
-    put = {"text": F.when(changed, F.col("_new")).otherwise(F.col("text"))}
-    if "n_chars" in docs.columns:
-        put["n_chars"] = F.when(changed, F.char_length("_new").cast("long")).otherwise(F.col("n_chars"))
-    return out.select(*[put.get(c, F.col(c)).alias(c) for c in docs.columns])
+    # Not deterministic in name only: so it is not evaluated again for each use.
+    cut_out = F.pandas_udf(cut_out, "string").asNondeterministic()
+    changed = F.col("spans").isNotNull()
+    out = boxed(docs, **_doc_key()).join(spans, list(DOC), "left").select("row", "spans")
+    out = out.withColumn("left", cut_out(F.when(changed, F.col("row.text")), F.col("spans")))
+    out = out.where(~changed | F.col("left").rlike(r"[^\x20\x09-\x0D]"))
+    put = {"text": F.when(changed, F.col("left")).otherwise(F.col("row")["text"]), "n_chars": F.when(changed, F.char_length("left").cast("long")).otherwise(F.col("row")["n_chars"]) if "n_chars" in docs.columns else None}
+    return out.select(*[put.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def excise(text: str, spans: list[tuple[int, int]]) -> str:
@@ -201,6 +261,6 @@ def op2_repeated_passages(spark, sf_dir) -> DataFrame:
     from ..session import share_code, table
 
     share_code(spark)
-    none = F.lit((1 << 63) - 1)
     out = repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select(F.nullif(F.col("kid"), none).alias("doc_id"), F.col("start").alias("start_word"), F.col("end").alias("end_word"), F.nullif(F.col("first_kid"), none).alias("first_doc_id"), F.col("first_start").alias("first_start_word"))
+    ids = [F.when(~F.col(f"{c}.none"), F.col(f"{c}.id")) for c in ("doc", "first")]
+    return out.select(ids[0].alias("doc_id"), F.col("start").alias("start_word"), F.col("end").alias("end_word"), ids[1].alias("first_doc_id"), F.col("first_start").alias("first_start_word"))
