@@ -9,7 +9,12 @@ exchange is of (source, bucket, sum) after map-side sums.
 
 Nulls and edges: a null text has size 0; a null source is a source of its own,
 last in order; repeated rows share a hash and so are taken alike; sources of
-size 0 have target 0; an empty table gives an empty result.
+size 0 have target 0; an empty table gives an empty result. mixed_documents
+passes other columns through whole, whatever their names; mix reads only doc_id,
+source and text.
+
+Sources may be many: they are numbered and summed up by range exchanges, never
+in one task.
 """
 
 from __future__ import annotations
@@ -17,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, words
+from .common import boxed, cut, number_rows, prefix_sums, words
 
 DIGIT_BITS, LEVELS = 12, 4
 #: Above so many sources the per-source table is joined by an exchange instead of a broadcast.
@@ -31,27 +36,26 @@ def doc_hash(doc_id: Column, text: Column) -> Column:
 
 
 def water_fill(totals: DataFrame, weights: list[int], cap: int) -> DataFrame:
-    """Add ``target``: shares of the whole by weight, none above cap * source_size.
+    """Add ``target``: shares of the whole by weight, none above cap * source_size. Some actions.
 
     ``totals`` has a row per source. target = min(cap * size, level * weight)
     with one level for all; sources sorted by cap * size / weight reach their
-    cap in that order, so the level follows from prefix sums.
+    cap in that order. If a source and all before it are capped, the level is
+    what is left, by the weights that are left; of all these the greatest is the
+    one that holds, as each but the true one gives out more than there is.
     """
-    every = Window.partitionBy()
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
     cycle = F.array(*[F.lit(w) for w in weights])
-    t = totals.withColumn("_w", F.element_at(cycle, ((F.row_number().over(by_name) - 1) % len(weights) + 1).cast("int")).cast("double"))
+    t = number_rows(totals, [F.col("source").asc_nulls_last()], "_nth")
+    t = t.withColumn("_w", F.element_at(cycle, (F.col("_nth") % len(weights) + 1).cast("int")).cast("double"))
     t = t.withColumn("_cap", F.col("source_size") * float(cap)).withColumn("_r", F.col("_cap") / F.col("_w"))
-    upto = Window.orderBy("_r", F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    t = t.withColumn("_all", F.sum("source_size").over(every).cast("double")).withColumn("_capped", F.sum("_cap").over(upto)).withColumn("_free", F.sum("_w").over(every) - F.sum("_w").over(upto))
-    # Level if this source and all before it are capped; it holds from the first row on whose successor it doesn't reach.
-    t = t.withColumn("_level", F.when(F.col("_free") > 0, (F.col("_all") - F.col("_capped")) / F.col("_free")))
-    t = t.withColumn("_next", F.lead("_r").over(Window.orderBy("_r", F.col("source").asc_nulls_last())))
-    none = F.col("_all") / F.sum("_w").over(every)
-    first = F.min(F.when(F.col("_level") <= F.col("_next"), F.struct("_capped", "_level"))).over(every)["_level"]
-    lowest = F.min("_r").over(every)
-    t = t.withColumn("_lambda", F.when(none <= lowest, none).otherwise(first))
-    return t.withColumn("target", F.least("_cap", F.col("_lambda") * F.col("_w"))).select("source", "source_size", "target")
+    t = cut(prefix_sums(t, [F.col("_r"), F.col("_nth")], _capped="_cap", _spent="_w"))
+    every, weight = t.agg(F.sum("source_size").cast("double"), F.sum("_w")).first()
+    if weight is None:
+        return t.select("source", "source_size", F.col("_cap").alias("target"))
+    free = weight - F.col("_spent")
+    level = t.agg(F.max(F.when(free > 0, (every - F.col("_capped")) / free))).first()[0]
+    level = max(every / weight, level or 0.0)
+    return t.select("source", "source_size", F.least(F.col("_cap"), level * F.col("_w")).alias("target"))
 
 
 def _with_sources(rows: DataFrame, per_source: DataFrame, n_sources: int) -> DataFrame:
@@ -112,20 +116,19 @@ def mix(docs: DataFrame, weights=(5, 2, 1), cap: int = 3) -> DataFrame:
 
 def mixed_documents(docs: DataFrame, weights=(5, 2, 1), cap: int = 3) -> DataFrame:
     """The mix itself: every row of ``docs`` as often as the mix takes it."""
-    narrow = cut(_sized(docs.select("doc_id", "source", "text")).select("source", "size", "_h"))
-    sized = docs.withColumn("_words", F.size(words(F.col("text"))).cast("long")).withColumn("_h", doc_hash(F.col("doc_id"), F.col("text")))
-    state, n = thresholds(narrow, weights, cap)
-    side = state.withColumnRenamed("source", "_s").select("_s", "_whole", "_threshold")
-    out = sized.join(F.broadcast(side) if n <= BROADCAST_SOURCES else side, sized["source"].eqNullSafe(F.col("_s")))
-    copies = (F.col("_whole") + F.when((F.col("_words") > 0) & (F.col("_h") < F.col("_threshold")), 1).otherwise(0)).cast("int")
-    return out.withColumn("_copies", copies).where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    size, h = F.size(words(F.col("text"))).cast("long"), doc_hash(F.col("doc_id"), F.col("text"))
+    rows = boxed(docs, source=F.col("source"), size=size, _h=h)
+    state, n = thresholds(cut(rows.drop("row")), weights, cap)
+    copies = F.col("_whole") + F.when((F.col("size") > 0) & (F.col("_h") < F.col("_threshold")), 1).otherwise(0)
+    out = _with_sources(rows, state.select("source", "_whole", "_threshold"), n).select("row", copies.cast("int").alias("copies")).where("copies > 0")
+    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def op6_mix_sources(spark, sf_dir) -> DataFrame:
     from ..session import table
 
     out = mix(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), "taken")
+    return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
 #: The same rule by sorting: prefix sums over hashes within each source.
@@ -136,20 +139,18 @@ WITH d AS (
   FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, [5, 2, 1][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INT) + 1]::DOUBLE AS w, 3.0 * source_size::DOUBLE AS cap FROM s),
-cand AS (  -- each source's ratio as a trial level: words given out at that level
-  SELECT c.cap / c.w AS r, sum(least(o.cap, c.cap / c.w * o.w)) AS given FROM w c, w o GROUP BY c.cap, c.w),
-tot AS (SELECT sum(source_size)::DOUBLE AS total FROM w),
-lo AS (SELECT coalesce(max(r), 0) AS r FROM cand, tot WHERE given <= total),
-lev AS (
-  SELECT (any_value(total) - coalesce(sum(CASE WHEN cap / w.w <= lo.r THEN cap END), 0)) / sum(CASE WHEN cap / w.w > lo.r THEN w.w END) AS level
-  FROM w, lo, tot),
+tot AS (SELECT sum(source_size)::DOUBLE AS total, sum(w) AS every FROM w),
+cand AS (  -- the level if a source and all that are capped no later are capped
+  SELECT (any_value(total) - sum(o.cap)) / (any_value(every) - sum(o.w)) AS level, any_value(every) - sum(o.w) AS free
+  FROM w c, w o, tot WHERE o.cap / o.w <= c.cap / c.w GROUP BY c.source),
+lev AS (SELECT greatest((SELECT total / every FROM tot), (SELECT max(level) FROM cand WHERE free > 0)) AS level),
 t AS (SELECT source, source_size, least(cap, level * w) AS target FROM w, lev),
 u AS (SELECT d.*, t.source_size, t.target,
         CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size) ELSE 0 END AS whole,
         sum(size) OVER (PARTITION BY d.source ORDER BY h RANGE UNBOUNDED PRECEDING) AS upto,
         sum(size) OVER (PARTITION BY d.source, h) AS same
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, round(target, 3) AS target,
+SELECT doc_id, size, source_size, target,
   CAST(size * (whole + CASE WHEN size > 0 AND (upto <= target - whole * source_size
      OR (upto - same <= target - whole * source_size AND 2 * (target - whole * source_size - (upto - same)) > same)) THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM u
