@@ -4,16 +4,23 @@ Tier one is a compact broadcast table of frequent pre-tokens and their token
 counts. It holds the vocabulary's own entries that are whole pre-tokens: the
 strings the tokenizer's training found frequent, so it needs no pass over the
 corpus and its size is bounded by the vocabulary. Tier two encodes misses with
-the tokenizer itself, through a bounded cache in each Python worker. Nothing is
-shuffled: one scan, one projection.
-
-Null texts count as empty (0 tokens). Special strings inside texts are one
-token each, as the library does by default. Very long pre-tokens are encoded
-whole and not cached.
+the tokenizer itself, through a bounded cache that a Python worker keeps from
+task to task. Nothing is shuffled: one scan, one projection.
+
+Texts are split as the tokenizer splits them. Where a character is outside the
+blocks for which the two Unicode tables are known to agree, only the stretch
+between two plain spaces that holds it goes to tier two as one piece.
+
+Null and empty texts have 0 tokens. Special strings inside texts are one token
+each, as the library does by default. Very long pre-tokens are encoded whole and
+not cached. Repeated rows get the same counts; an empty table gives an empty
+result. Columns of the input that are named like a new one keep their values
+under that name with ``_input`` behind it.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,10 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
+from .common import added
+
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 CACHE, CACHED_CHARS = 1 << 17, 64
-#: Characters outside these blocks are split by the library, whose Unicode tables may differ from regex's.
-_RARE = regex.compile(r"[^\x00-ɏͰ-ϿЀ-ӿ‐-‧]")
+#: Characters outside these blocks (Latin, Greek, Cyrillic, dashes and quotes, Han, kana, Hangul syllables) are split by the library, whose Unicode tables may differ from regex's.
+_RARE = regex.compile(r"[^\x00-ɏͰ-ϿЀ-ӿ‐-‧\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fef\uac00-\ud7a3]")
+#: A place before a single space between plain characters: always a bound of pre-tokens.
+_BOUND = regex.compile(r"(?<=[!-~])(?= [!-~])", regex.V1)
 
 
 def _byte_chars() -> dict[str, int]:
@@ -72,35 +83,46 @@ def token_counter(tokenizer, table: tuple[str, bytes] | None = None):
             parts = cut_at.split(text)
             n = len(parts) - 1
         for part in parts:
-            if _RARE.search(part):
-                n += encode(part)
-                continue
-            for piece in split(part):
-                k = first.get(piece)
-                n += k if k is not None else cached(piece) if len(piece) <= CACHED_CHARS else encode(piece)
+            for stretch in _BOUND.split(part) if _RARE.search(part) else (part,):
+                for piece in (stretch,) if _RARE.search(stretch) else split(stretch):
+                    k = first.get(piece)
+                    n += k if k is not None else cached(piece) if len(piece) <= CACHED_CHARS else encode(piece)
         return n
 
     return count
 
 
+_KEPT: dict = {}
+
+
+def _kept_counter(key: str, spec: str, frequent: tuple[str, bytes]):
+    """This process's counter of that key; a worker keeps one, the latest."""
+    from tokenizers import Tokenizer
+
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = token_counter(Tokenizer.from_str(spec), frequent)
+    return _KEPT[key]
+
+
 def count_tokens(docs: DataFrame, tokenizer_json: str, limit: int = 512) -> DataFrame:
     """Add n_bytes, n_tokens and over_limit to ``docs``. ``tokenizer_json``: path of a byte-level BPE file, read on the driver."""
     from tokenizers import Tokenizer
 
     with open(tokenizer_json, encoding="utf-8") as f:
         spec = f.read()
+    key = hashlib.sha256(spec.encode("utf-8")).hexdigest()
     shared = docs.sparkSession.sparkContext.broadcast((spec, frequent_table(Tokenizer.from_str(spec))))  # both bounded by the vocabulary
 
     @F.pandas_udf(LongType())
     def tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        spec, frequent = shared.value
-        count = token_counter(Tokenizer.from_str(spec), frequent)
+        count = _kept_counter(key, *shared.value)
         for texts in batches:
             yield pd.Series([count(t) for t in texts], dtype="int64")
 
     text = F.coalesce(F.col("text"), F.lit(""))
-    out = docs.withColumn("n_bytes", F.octet_length(text).cast("long")).withColumn("n_tokens", tokens(text))
-    return out.withColumn("over_limit", F.col("n_tokens") > limit)
+    out = added(docs, n_bytes=F.octet_length(text).cast("long"), n_tokens=tokens(text))
+    return added(out, over_limit=F.col("n_tokens") > limit)
 
 
 def op8_token_counts(spark, sf_dir) -> DataFrame:
