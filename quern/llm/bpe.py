@@ -8,7 +8,10 @@ one) and their ancestors, so a match of n bytes costs O(n log n) however long
 it is; one of up to FAN pairs is a single node. Encodings of short matches are
 kept in a cache of CACHE entries, which a Python worker keeps from task to task.
 
-Null texts are empty: 0 tokens, digests of the empty string.
+Null texts are empty: 0 tokens, digests of the empty string. Repeated rows get
+the same results; an empty table gives an empty result. Columns of the input that
+are named like a new one keep their values under that name with ``_input`` behind
+it.
 """
 
 from __future__ import annotations
@@ -21,9 +24,11 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import added
+
 CACHE, CACHED_CHARS, FAN = 1 << 18, 64, 16
 NONE = 1 << 20  # beyond any rank
 
@@ -147,7 +152,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFram
         for texts in batches:
             yield pd.Series([np.array(codec.encode(t), dtype=np.int32) for t in texts], dtype=object)
 
-    return docs.withColumn("ids", ids(F.coalesce(F.col("text"), F.lit(""))))
+    return added(docs, ids=ids(F.coalesce(F.col("text"), F.lit(""))))
 
 
 def decode_documents(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
@@ -160,11 +165,11 @@ def decode_documents(encoded: DataFrame, ranks_path: str, pattern: str) -> DataF
         for rows in batches:
             yield pd.Series([codec.decode(r.tolist() if r is not None else ()) for r in rows], dtype=object)
 
-    return encoded.withColumn("decoded", decoded("ids"))
+    return added(encoded, decoded=decoded("ids"))
 
 
-def encode_and_decode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """Add ``ids`` and ``decoded``: both of the above in one pass, so that a task needs one worker and one codec."""
+def both_ways(docs: DataFrame, ranks_path: str, pattern: str, text: Column) -> Column:
+    """A struct of ``ids`` and ``decoded`` for a text column of ``docs``: encoder and decoder in one pass, so that a task needs one worker and one codec."""
     make = _codec_of(docs, ranks_path, pattern)
 
     @F.pandas_udf("ids array<int>, decoded binary")
@@ -174,8 +179,19 @@ def encode_and_decode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFra
             ids = [np.array(codec.encode(t), dtype=np.int32) for t in texts]
             yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "decoded": pd.Series([codec.decode(x.tolist()) for x in ids], dtype=object)})
 
-    out = docs.withColumn("_b", both(F.coalesce(F.col("text"), F.lit(""))))
-    return out.select(*docs.columns, "_b.*")
+    return both(F.coalesce(text, F.lit("")))
+
+
+def encode_and_decode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """Add ``ids`` and ``decoded``."""
+    return _unpacked(docs, both_ways(docs, ranks_path, pattern, F.col("text")), "ids", "decoded")
+
+
+def _unpacked(docs: DataFrame, made: Column, *fields: str) -> DataFrame:
+    """Add the fields of a struct that is made once."""
+    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), made.alias("made"))
+    names = dict(zip(docs.columns, added(docs, **{f: F.lit(0) for f in fields}).columns, strict=False))
+    return out.select(*[F.col("row")[c].alias(names[c]) for c in docs.columns], *[f"made.{f}" for f in fields])
 
 
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
@@ -193,8 +209,7 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
                 rows.append((len(ids), hashlib.sha256(spelled).hexdigest(), hashlib.sha256(codec.decode(ids)).hexdigest()))
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
-    out = docs.withColumn("_d", digests(F.coalesce(F.col("text"), F.lit(""))))
-    return out.select(*docs.columns, "_d.*")
+    return _unpacked(docs, digests(F.coalesce(F.col("text"), F.lit(""))), "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 def op9_byte_bpe(spark, sf_dir) -> DataFrame:
