@@ -21,7 +21,9 @@ depends on how vectors crowd.
 Vectors that are null, zero or hold null or non-finite components take no part;
 nor do rows without vec_id. Of rows that share a vec_id the least vector counts.
 Vectors of each length are searched among their own kind: the most common one
-and those of more than BLOCK_ROWS rows by an index each, the others exactly.
+and those of more than BLOCK_ROWS rows by an index each, the others exactly. An
+empty table gives an empty result. Other columns of the input are not read, so
+their names can't clash.
 """
 
 from __future__ import annotations

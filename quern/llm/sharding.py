@@ -8,7 +8,8 @@ differ by one at most, nothing but the row's number is needed to find it, and
 the inverse gives the row held by any slot.
 
 Nulls: a null doc_id is numbered after all others, a null text has no bytes.
-Repeated rows get separate slots. An empty table gives an empty result.
+Repeated rows get separate slots. An empty table gives an empty result. Other
+columns of the input are not read, so their names can't clash.
 """
 
 from __future__ import annotations

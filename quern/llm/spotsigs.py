@@ -3,8 +3,8 @@
 A text is lower-cased and reduced to its runs of letters. Words of four letters
 and more are content; the shorter ones before a content word, the last GAP of
 them, form its gap. Where the gap holds an anchor (a very common word of one of
-the supported languages), the gap, its content word and the next one make one
-signature. The fingerprint is the set of signature hashes, ascending. A text
+the supported languages), the gap, its content word and the next one (if there is
+one) make one signature. The fingerprint is the set of signature hashes, ascending. A text
 without any anchored chain uses all its chains; one without chains is hashed
 whole.
 
@@ -15,7 +15,8 @@ candidates before the exact comparison.
 
 Only DataFrame functions are used. Null texts are empty. Rows that share a
 doc_id and a text count as one document whose successor is the next different
-one; rows without a doc_id come last. An empty table gives an empty result.
+one; rows without a doc_id come last. An empty table gives an empty result. Other
+columns of the input are not read, so their names can't clash.
 """
 
 from __future__ import annotations

@@ -9,15 +9,17 @@ import zlib
 
 import numpy as np
 import pytest
+import regex
 from compare import difference, duck
 from pyspark.sql import functions as F
 
-from quern.llm import ann, bpe, mixing, quality, sharding, simhash, spotsigs, suffix_dedup, token_counts, toxicity
+from quern.llm import ann, bpe, labelled, mixing, quality, sharding, simhash, spotsigs, suffix_dedup, token_counts, toxicity
 from quern.llm.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
-EXTRA = {"fp": "x", "sigs": "y", "_h": "z", "kid": "k", "size": "s", "score": "c", "ids": "i"}
+#: Columns named like those that the operators compute, with values that tell them.
+EXTRA = {c: f"mine:{c}" for c in ("row", "fp", "sigs", "_h", "kid", "th", "none", "id", "spans", "left", "size", "score", "predicted", "ids", "decoded", "made", "n_tokens", "round_trip", "copies", "key", "text_hash", "_words", "_copy", "root")}
 
 
 @pytest.fixture(scope="module")
@@ -51,6 +53,12 @@ def with_extra(df):
     return df.select("*", *[F.lit(v).alias(k) for k, v in EXTRA.items() if k not in df.columns])
 
 
+def keeps_extra(df, renamed=()):
+    """Every row has the values of the extra columns, those of new names behind ``_input``."""
+    rows = df.collect()
+    return bool(rows) and all(r[f"{k}_input" if k in renamed else k] == v for r in rows for k, v in EXTRA.items())
+
+
 # 1: fingerprints
 
 
@@ -77,6 +85,44 @@ def test_op1_edges(edge, empty):
     assert last["edited"] == "lost words" + "é中🙂 \t"
 
 
+def test_op1_signatures_by_plain_python(spark, texts):
+    """An independent version: words by code points, gaps from a list of the words before each content word."""
+
+    def slow(text):
+        words, word = [], ""
+        for c in text.lower() + " ":
+            if regex.match(r"\p{L}", c):
+                word += c
+            elif word:
+                words.append(word)
+                word = ""
+        at = [i for i, w in enumerate(words) if len(w) >= 4]
+        chains = []
+        for k, i in enumerate(at):
+            gap = words[max(at[k - 1] + 1 if k else 0, i - spotsigs.GAP) : i]
+            chains.append((gap, " " + " ".join([*gap, words[i], *(words[j] for j in at[k + 1 : k + 2])])))
+        some = [c for gap, c in chains if any(w in spotsigs.ANCHORS for w in gap)]
+        return some or [c for _, c in chains] or ([text.lower()] if text else [])
+
+    odd = ["", "the", "the of", "one house", "The House of the Rising Sun's là-bas", "a an the in of it is to was der house and home", "x" * 50, "word " * 300, "É de là FORÊT et MAISON"]
+    docs = spark.createDataFrame([(t,) for t in [*odd, *list(texts.values())[:60]]], "text string")
+    rows = docs.select("text", spotsigs.signatures(F.col("text")).alias("sigs")).collect()
+    want = spark.createDataFrame([(i, c) for i, r in enumerate(rows) for c in slow(r["text"])], "i int, c string").select("i", F.xxhash64("c").alias("h")).collect()
+    by = {}
+    for r in want:
+        by.setdefault(r["i"], set()).add(r["h"])
+    assert [r["sigs"] for r in rows] == [sorted(by.get(i, ())) for i in range(len(rows))]
+
+
+def test_op1_near_next(spark, texts):
+    order = sorted(texts, reverse=True)
+    got = {r["doc_id"]: r for r in QUERIES["op1_spotsigs"](spark, SF).collect()}
+    sets = {d: {r["fingerprint"][j : j + 16] for j in range(0, len(r["fingerprint"]), 16)} for d, r in got.items()}
+    for i, d in enumerate(order):
+        a, b = sets[d], sets[order[(i + 1) % len(order)]]
+        assert got[d]["near_next"] == pytest.approx(len(a & b) / len(a | b) if a | b else 1)
+
+
 def test_op1_near_pairs_are_those_of_brute_force(spark):
     rng = random.Random(4)
     sets = [sorted(rng.sample(range(60), rng.randint(1, 30))) for _ in range(60)]
@@ -98,7 +144,7 @@ def test_op2_finds_planted_passages_and_nothing_else(spark):
     passage, clean = _prose(rng, 70), _prose(rng, 300)
     rows = [(1, " ".join(_prose(rng, 40) + passage + _prose(rng, 30))), (2, " ".join(_prose(rng, 11) + passage + _prose(rng, 90))), (3, " ".join(passage)), (4, " ".join(clean)), (5, " ".join(_prose(rng, 20) + clean[:45] + _prose(rng, 20))), (6, None), (7, "")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = sorted((r["kid"], r["start"], r["end"], r["first_kid"], r["first_start"]) for r in suffix_dedup.repeated_passages(docs).collect())
+    got = _runs(docs)
     assert got == [(2, 11, 81, 1, 40), (3, 0, 70, 1, 40)]
     left = {r["doc_id"]: r["text"] for r in suffix_dedup.without_repeats(docs).collect()}
     words = rows[1][1].split()
@@ -106,6 +152,10 @@ def test_op2_finds_planted_passages_and_nothing_else(spark):
     assert all(left[d] == t for d, t in rows if d not in (2, 3))
 
 
+def _runs(docs):
+    return sorted((r["doc"]["id"], r["start"], r["end"], r["first"]["id"], r["first_start"]) for r in suffix_dedup.repeated_passages(docs).collect())
+
+
 def _marked(rows):
     """Words of each document that lie in a 50-word window that occurred before, by brute force."""
     first, out = {}, {}
@@ -122,7 +172,7 @@ def _marked(rows):
 def _reported(spark, rows):
     out = {d: set() for d, t in rows if t}
     for r in suffix_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
-        out[r["kid"]] |= set(range(r["start"], r["end"]))
+        out[r["doc"]["id"]] |= set(range(r["start"], r["end"]))
     return out
 
 
@@ -146,8 +196,7 @@ def test_op2_runs_agree_with_one_copy(spark):
     parts = [a, b, a + b, c, d, c + d, line, line + line]
     rows = [(i, " ".join(_prose(rng, 9) + p + _prose(rng, 9))) for i, p in enumerate(parts)]
     assert _reported(spark, rows) == _marked(rows)
-    got = suffix_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert sorted((r["kid"], r["start"], r["end"], r["first_kid"], r["first_start"]) for r in got) == [(5, 9, 69, 3, 9), (5, 69, 139, 4, 9)]
+    assert _runs(spark.createDataFrame(rows, "doc_id long, text string")) == [(5, 9, 69, 3, 9), (5, 69, 139, 4, 9)]
 
 
 def test_op2_overlapping_fragments_are_no_passage(spark):
@@ -159,12 +208,44 @@ def test_op2_overlapping_fragments_are_no_passage(spark):
         for i, part in enumerate((passage[:size], passage[n - size :], passage)):
             rows.append((3 * k + i, " ".join(_prose(rng, 9) + part + _prose(rng, 9))))
     assert _reported(spark, rows) == _marked(rows)
-    got = suffix_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    runs = sorted((r["kid"], r["start"], r["end"], r["first_kid"], r["first_start"]) for r in got)
+    runs = _runs(spark.createDataFrame(rows, "doc_id long, text string"))
     assert runs == [x for k in range(0, 40, 2) for x in ((3 * k + 2, 9, 69, 3 * k, 9), (3 * k + 2, 39, 99, 3 * k + 1, 9))]
 
 
+def test_op2_random_texts_of_few_words(spark):
+    """Texts of short periods and of spliced pieces, over 211 sorted ranges, so that runs of one seed straddle them."""
+    rng = random.Random(15)
+    pool = [_prose(rng, rng.randint(30, 120)) for _ in range(12)]
+    rows = []
+    for i in range(80):
+        parts = [rng.choice(pool)[rng.randint(0, 10) :] if rng.random() < 0.6 else _prose(rng, rng.randint(1, 30)) for _ in range(rng.randint(1, 5))]
+        rows.append((i, " ".join(w for p in parts for w in p)))
+    rows += [(100, "a b c " * 60), (101, "a b c " * 40), (102, "z " * 49), (103, "z " * 101)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for n in ("8", "211"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        try:
+            assert _reported(spark, rows) == _marked(rows)
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_op2_ids_blanks_and_repeated_rows(spark):
+    """Null ids are documents by text, the greatest id is an id, repeated rows are one document, blank remainders go."""
+    rng = random.Random(16)
+    p, top = _prose(rng, 60), (1 << 63) - 1
+    a, b, c = (" ".join(_prose(rng, 5) + p + _prose(rng, 5)) for _ in range(3))
+    docs = spark.createDataFrame([(1, " ".join(p)), (2, " ".join(p) + "\n\t"), (3, a), (3, a), (3, a), (None, b), (None, c), (top, a)], "doc_id long, text string")
+    got = sorted((r["doc"]["none"], r["doc"]["id"] if not r["doc"]["none"] else 0, r["start"], r["end"], r["first"]["id"]) for r in suffix_dedup.repeated_passages(docs).collect())
+    # (top, a) repeats 3's words before and after the passage too: one run with each first holder.
+    assert [x for x in got if x[1] < top] == [(False, 2, 0, 60, 1), (False, 3, 5, 65, 1), (True, 0, 5, 65, 1), (True, 0, 5, 65, 1)]
+    assert {x[4] for x in got if x[1] == top} == {1, 3}
+    left = suffix_dedup.without_repeats(docs).collect()
+    assert sorted(r["doc_id"] or 0 for r in left) == [0, 0, 1, 3, 3, 3] and len({r["text"] for r in left if r["doc_id"] == 3}) == 1
+
+
 def test_op2_edges(edge, empty):
+    assert keeps_extra(suffix_dedup.without_repeats(with_extra(edge)))
     assert {r["doc_id"] for r in suffix_dedup.without_repeats(with_extra(edge)).select("doc_id").collect()} >= {1, 2, 3, 5, 6}
     assert suffix_dedup.repeated_passages(empty).count() == 0 and suffix_dedup.without_repeats(empty).count() == 0
 
@@ -226,14 +307,15 @@ def _classes(fps):
     return out
 
 
-def test_op4_links_in_crowded_and_light_buckets(spark):
+@pytest.mark.parametrize("segments", [m for m, _ in simhash.SEGMENTS])
+def test_op4_links_in_crowded_and_light_buckets(spark, segments):
     """Chains of near fingerprints around one, more than LIGHT, so that both ways are taken."""
     rng = random.Random(6)
     base = rng.getrandbits(64)
     fps = {base ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for _ in range(300)} | {rng.getrandbits(64) for _ in range(50)}
     fps |= {f ^ 3 for f in list(fps)[:40]} | {f ^ 7 for f in list(fps)[40:60]}
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
-    edges = simhash.ring_links(spark.createDataFrame([(f,) for f in signed], "fp long")).collect()
+    edges = simhash.ring_links(spark.createDataFrame([(f,) for f in signed], "fp long"), segments).collect()
     near = lambda a, b: ((a ^ b) & (1 << 64) - 1).bit_count()
     assert all(near(e["u"], e["v"]) <= 3 for e in edges)  # a star's centre holds a value within one bit of both
     root = {f: f for f in signed}
@@ -259,6 +341,7 @@ def test_op4_edges(edge, empty):
     assert len(got) == 8 and {r["component_id"] for r in got if r["doc_id"] in (1, 2)} == {1}
     kept = simhash.near_dedup(with_extra(edge))
     assert kept.columns == with_extra(edge).columns and sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 3, 4, 5, 6]
+    assert keeps_extra(kept)
     assert simhash.assign(empty).count() == simhash.near_dedup(empty).count() == 0
 
 
@@ -276,18 +359,50 @@ def test_scorers_rank_held_out_rows(spark, name, label, folds, held, least):
     assert sum((g > b) + (g == b) / 2 for g in good for b in bad) / (len(good) * len(bad)) >= least
 
 
-def test_op7_learns_pairs():
-    """Neither term tells alone; together they do."""
-    rng = np.random.default_rng(1)
-    has = rng.integers(0, 2, (4000, 2))
-    model = toxicity.FactorizationMachine().fit(np.array([3, 9]), [np.array([3, 9])[h == 1] for h in has], (has.sum(1) == 2).astype(float))
-    assert model.v[0] @ model.v[1] > 0.5
+def test_op7_learns_pairs(spark):
+    """Neither word tells alone, exactly one of the two does; each text has other words besides."""
+    rng = random.Random(1)
+    has = [(rng.random() < 0.5, rng.random() < 0.5) for _ in range(3000)]
+    rows = [(i, " ".join(["alpha"] * a + ["omega"] * b + [f"w{rng.randrange(900)}" for _ in range(6)])) for i, (a, b) in enumerate(has)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(a != b)) for i, (a, b) in enumerate(has)], "doc_id long, toxic int")
+    one = toxicity.fit_toxicity(docs, labels).scorer()
+    assert min(one("alpha w5"), one("omega w5")) > 0.6 and max(one("alpha omega w5"), one("w5 w6")) < 0.4
+
+
+def test_scores_by_hand(spark):
+    """Each score is the sum of table entries or of weights and pairs, taken one by one."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(800, 4))
+    x[:, 3] = rng.integers(0, 3, 800)
+    m = quality.AdditiveModel(rounds=20, pair_rounds=10, pairs=2).fit(x, (x[:, 0] * x[:, 1] + x[:, 3] > 1).astype(float))
+    for row, s in zip(x[:50], m.score(x[:50]), strict=True):
+        z = m.base + sum(m.tables[j][sum(c <= row[j] for c in m.cuts[j])] for j in range(4))
+        z += sum(t[sum(c <= row[a] for c in m.rough[a]), sum(c <= row[b] for c in m.rough[b])] for a, b, t in m.two_way)
+        assert s == pytest.approx(1 / (1 + np.exp(-z)))
+    texts = ["good calm day", "bad angry word here", "bad day", "calm word", "angry angry bad"] * 20
+    terms = [toxicity.text_terms(t) for t in texts]
+    fm = toxicity.FactorizationMachine().fit(terms, np.array([0, 1, 0, 0, 1] * 20, dtype=float))
+    at = {int(t): i for i, t in enumerate(fm.terms)}
+    for t in [*texts[:5], "angry unknown", "", None]:
+        ids = [at[int(k)] for k in toxicity.text_terms(t) if int(k) in at]
+        z = fm.w0 + sum(float(fm.w[i]) for i in ids) + sum(float(fm.v[k, i]) * float(fm.v[k, j]) for i in ids for j in ids if i < j for k in range(len(fm.v)))
+        assert fm.scorer()(t) == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-6)
+
+
+def test_training_rows_are_bounded(spark):
+    """One labelled id with many rows doesn't lift the bound."""
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(500)] + [(i, "other") for i in range(2, 40)], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, i % 2) for i in range(1, 40)], "doc_id long, toxic int")
+    rows = labelled.bounded(labelled.training_rows(docs, marks, "toxic", 3, 1, 30).withColumnRenamed("text", "x"), 30)
+    assert rows.count() == 30 and [r["x"] for r in rows.collect()] == [r["x"] for r in rows.collect()]
 
 
 @pytest.mark.parametrize("fit, score", [(quality.fit_quality, quality.score_quality), (toxicity.fit_toxicity, toxicity.score_toxicity)])
 def test_scorer_edges(edge, empty, labels, no_labels, fit, score):
     got = score(edge.withColumn("x", F.lit(1)), fit(edge, labels)).collect()
     assert len(got) == 8 and all(0 <= r["score"] <= 1 for r in got)
+    assert keeps_extra(score(with_extra(edge), fit(edge, labels)), ("score", "predicted"))
     assert {r["score"] for r in score(edge, fit(edge, no_labels)).collect()} == {0.5}
     assert score(empty, fit(empty, labels)).count() == 0
 
@@ -305,7 +420,7 @@ def test_op6_edges(edge, empty):
     sizes = {(r["doc_id"]): r["size"] for r in rows}
     assert sizes[1] == sizes[2] == 0 and sizes[4] == 80_000
     assert mixing.mix(empty).count() == 0 and mixing.mixed_documents(empty).columns == empty.columns
-    assert mixing.mixed_documents(with_extra(edge)).columns == with_extra(edge).columns
+    assert mixing.mixed_documents(with_extra(edge)).columns == with_extra(edge).columns and keeps_extra(mixing.mixed_documents(with_extra(edge)))
 
 
 # 8 and 9: tokens
@@ -329,7 +444,7 @@ def test_op8_same_as_the_library(spark, texts):
         t = texts[r["doc_id"]]
         n = len(lib.encode(t, add_special_tokens=False).ids)
         assert (r["n_bytes"], r["n_tokens"], r["over_limit"]) == (len(t.encode()), n, n > 512)
-    odd = ["<|endoftext|>", "a<|endoftext|> b", " \n\n  x", "don't I'LL", "日本語 テキスト", "🙂🙂", "́a‍", "", "1234 56", "\x00\x01", "a" * 5000]
+    odd = ["a ก b กก <|endoftext|> ก", "naïve ก\n ok", "한글 テ ก 日",  "<|endoftext|>", "a<|endoftext|> b", " \n\n  x", "don't I'LL", "日本語 テキスト", "🙂🙂", "́a‍", "", "1234 56", "\x00\x01", "a" * 5000]
     count = token_counts.token_counter(lib, token_counts.frequent_table(lib))
     assert [count(t) for t in odd] == [len(lib.encode(t, add_special_tokens=False).ids) for t in odd]
 
@@ -360,6 +475,9 @@ def test_token_edges(edge, empty):
     got = {r["doc_id"]: r for r in token_counts.count_tokens(edge, tokenizers.path("byte_bpe_50k.json")).collect()}
     assert got[1]["n_tokens"] == got[2]["n_tokens"] == 0 and got[4]["over_limit"]
     args = tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN
+    assert keeps_extra(token_counts.count_tokens(with_extra(edge), tokenizers.path("byte_bpe_50k.json")), ("n_tokens",))
+    assert keeps_extra(bpe.encode_and_decode(with_extra(edge), *args), ("ids", "decoded")) and keeps_extra(bpe.round_trip(with_extra(edge), *args), ("n_tokens",))
+    assert keeps_extra(bpe.decode_documents(bpe.encode_documents(with_extra(edge), *args), *args), ("ids", "decoded"))
     both = bpe.encode_and_decode(edge, *args).collect()
     assert all(bytes(r["decoded"]).decode() == (r["text"] or "") for r in both)
     apart = bpe.decode_documents(bpe.encode_documents(edge, *args), *args).collect()
@@ -451,7 +569,9 @@ def test_pipeline_stages(spark, texts):
 def test_pipeline_edges(spark, request, kind, tmp_path):
     import corpus_pipeline as p
 
-    docs = request.getfixturevalue(kind)
+    docs = with_extra(request.getfixturevalue(kind))
+    for _, stage in p.STAGES[:-1]:
+        assert stage(docs.sparkSession, docs, SF).columns == docs.columns and (kind == "empty" or stage is p.keep_quality or keeps_extra(stage(docs.sparkSession, docs, SF)))
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(i, 1, 0) for i in range(1, 7)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     rows = p.run(spark, str(tmp_path)).collect()
