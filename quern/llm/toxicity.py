@@ -36,9 +36,10 @@ from pyspark.sql.types import DoubleType
 from .common import added
 from .labelled import bounded, fold, training_rows
 
-TRAIN_ROWS, FACTORS, STEPS, RATE = 12_000, 3, 50, 0.1
+TRAIN_ROWS, FACTORS, STEPS, RATE = 6_000, 3, 60, 0.1
 #: Penalties of weights and factors; texts a term needs, and standard deviations its share is off (LEAST_OFF at least), for a penalty near that.
 RIDGE, FACTOR_RIDGE, SEEN, TOLD, LEAST_OFF = 0.1, 40.0, 8, 6.0, 1.0
+COMMON = 300  # texts from which on a term's share tells enough by itself
 PREFIXES = (5, 6, 7)
 _WORDS = re.compile(r"\w+").findall
 
@@ -56,44 +57,64 @@ def text_terms(text: str | None) -> np.ndarray:
     return np.array(sorted(found), dtype=np.int64)
 
 
+def _chunks(sizes: list[int], most: int = 1 << 20) -> list[tuple[int, int, int, int]]:
+    """(first row, end, first posting, end) of runs of rows with some ``most`` postings each."""
+    out, a, i, j = [], 0, 0, 0
+    for k, n in enumerate(sizes):
+        j += n
+        if j - i >= most or k + 1 == len(sizes):
+            out.append((a, k + 1, i, j))
+            a, i = k + 1, j
+    return out
+
+
 class FactorizationMachine:
     """Weights and factors of all terms met in training."""
 
     def fit(self, rows: list[np.ndarray], y: np.ndarray, factors: int = FACTORS, steps: int = STEPS, seed: int = 5) -> FactorizationMachine:
         """``rows``: the distinct hashed terms of each text. Penalised likelihood by full-batch steps."""
-        m = len(y)
+        m, sizes = len(y), [len(r) for r in rows]
         self.key = uuid.uuid4().hex
-        self.terms, ids = np.unique(np.concatenate([*rows, np.zeros(0, dtype=np.int64)]), return_inverse=True)
-        n = len(self.terms)
+        self.terms, ids = np.unique(np.concatenate([*rows, np.zeros(0, dtype=np.int64)]).astype(np.int32), return_inverse=True)
+        n, ids = len(self.terms), ids.astype(np.int32)
         self.w, self.v = np.zeros(n, np.float32), np.zeros((factors, n), np.float32)
         share = (y.sum() + 1) / (m + 2)
         self.w0 = float(np.log(share / (1 - share)))
         if not n or y.min() == y.max():
             return self
         self.v = np.random.default_rng(seed).normal(0, 0.02, (factors, n)).astype(np.float32)
-        row = np.repeat(np.arange(m), [len(r) for r in rows])
-        met = np.bincount(ids, minlength=n)
-        off = np.abs(np.bincount(ids, y[row], n) - met * share) / np.sqrt(met * share * (1 - share))
+        chunks = _chunks(sizes)
+        met, toxic = np.bincount(ids, minlength=n), np.zeros(n)
+        for a, b, i, j in chunks:
+            toxic += np.bincount(ids[i:j], np.repeat(y[a:b], sizes[a:b]), n)
+        off = np.abs(toxic - met * share) / np.sqrt(met * share * (1 - share))
         few = 1 + (SEEN / met) ** 2
-        penalties = [RIDGE * few * (1 + (TOLD / np.maximum(off, LEAST_OFF)) ** 4)] + [FACTOR_RIDGE * few] * factors
+        ridge = (RIDGE * few * (1 + (TOLD / np.maximum(off, LEAST_OFF)) ** 4 * np.minimum(1, COMMON / met))).astype(np.float32)
+        penalties = [ridge] + [(FACTOR_RIDGE * few).astype(np.float32)] * factors
         parts = [self.w, *self.v]
-        mean, square = [np.zeros(n) for _ in parts], [np.zeros(n) for _ in parts]
+        mean, square = [np.zeros(n, np.float32) for _ in parts], [np.zeros(n, np.float32) for _ in parts]
         for step in range(1, steps + 1):
             rate = RATE * min(1.0, 2 * (1 - step / (steps + 1)))
-            z = self.w0 + np.bincount(row, self.w[ids], m)
-            seen = [v[ids] for v in self.v]
-            totals = [np.bincount(row, s, m) for s in seen]
-            for s, t in zip(seen, totals, strict=True):
-                z += 0.5 * (t * t - np.bincount(row, s * s, m))
-            err = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
-            e = err[row]
-            slopes = [np.bincount(ids, e, n)] + [np.bincount(ids, e * (t[row] - s), n) for s, t in zip(seen, totals, strict=True)]
-            for x, g, penalty, a, b in zip(parts, slopes, penalties, mean, square, strict=True):
+            slopes, slope0 = [np.zeros(n, np.float32) for _ in parts], 0.0
+            for a, b, i, j in chunks:  # the gradient is that of all rows, summed up in chunks
+                at, row = ids[i:j], np.repeat(np.arange(b - a), sizes[a:b])
+                seen = [v[at] for v in self.v]
+                totals = [np.bincount(row, x, b - a) for x in seen]
+                z = self.w0 + np.bincount(row, self.w[at], b - a)
+                for x, t in zip(seen, totals, strict=True):
+                    z += 0.5 * (t * t - np.bincount(row, x * x, b - a))
+                err = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[a:b]
+                e = err[row]
+                slope0 += err.sum()
+                slopes[0] += np.bincount(at, e, n)
+                for g, x, t in zip(slopes[1:], seen, totals, strict=True):
+                    g += np.bincount(at, e * (t[row] - x), n)
+            for x, g, penalty, first, second in zip(parts, slopes, penalties, mean, square, strict=True):
                 g += penalty * x
-                a += 0.1 * (g - a)
-                b += 0.02 * (g * g - b)
-                x -= rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.98**step)) + 1e-6)
-            self.w0 -= rate * err.sum() / (0.25 * m)
+                first += 0.1 * (g - first)
+                second += 0.02 * (g * g - second)
+                x -= rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.98**step)) + 1e-6)
+            self.w0 -= rate * slope0 / (0.25 * m)
         return self
 
     def scorer(self):
@@ -101,7 +122,7 @@ class FactorizationMachine:
 
         @lru_cache(maxsize=1 << 17)
         def known(word: str) -> tuple[int, ...]:
-            at = np.array(word_terms(word), dtype=np.int64)
+            at = np.array(word_terms(word), dtype=np.int32)
             i = np.searchsorted(self.terms, at)
             return tuple(int(x) for x, t in zip(i, at, strict=True) if x < len(self.terms) and self.terms[x] == t)
 
@@ -138,7 +159,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "y": pdf["y"], "x": [text_terms(t).astype(np.int32) for t in pdf["text"]]})
 
     got = bounded(training_rows(docs, labels, label, folds, held_out, rows).mapInPandas(termed, "doc_id long, y double, x array<int>"), rows).toPandas()
-    return FactorizationMachine().fit([np.asarray(r, dtype=np.int64) for r in got["x"]], got["y"].to_numpy(dtype=float))
+    return FactorizationMachine().fit(list(got["x"]), got["y"].to_numpy(dtype=float))
 
 
 def toxicity_of(spark, model: FactorizationMachine, text: Column) -> Column:

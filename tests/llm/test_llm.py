@@ -380,6 +380,7 @@ def test_scores_by_hand(spark):
         z = m.base + sum(m.tables[j][sum(c <= row[j] for c in m.cuts[j])] for j in range(4))
         z += sum(t[sum(c <= row[a] for c in m.rough[a]), sum(c <= row[b] for c in m.rough[b])] for a, b, t in m.two_way)
         assert s == pytest.approx(1 / (1 + np.exp(-z)))
+    assert toxicity._chunks([3, 0, 2, 4], 4) == [(0, 3, 0, 5), (3, 4, 5, 9)] and toxicity._chunks([]) == []
     texts = ["good calm day", "bad angry word here", "bad day", "calm word", "angry angry bad"] * 20
     terms = [toxicity.text_terms(t) for t in texts]
     fm = toxicity.FactorizationMachine().fit(terms, np.array([0, 1, 0, 0, 1] * 20, dtype=float))
