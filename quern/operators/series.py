@@ -233,11 +233,11 @@ def combined(a: Column, b: Column) -> tuple[Column, Column]:
 
 def mask_table(spark) -> DataFrame:
     """ARR6-7, JOIN10, FLT5: masks, their AND and OR, packed and unpacked forms, and active places."""
-    m = masks(spark)
-    both, either = combined(F.col("strided"), F.col("skip_first"))
+    m = masks(spark).withColumnsRenamed({c: f"_{c}" for c in ("strided", "skip_first", "skip_last")})
+    both, either = combined(F.col("_strided"), F.col("_skip_first"))
     text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), "")
-    active = F.filter(F.transform("strided", lambda x, i: F.when(x == 1, i)), lambda i: i.isNotNull())
-    return m.select("layer", *[text(F.col(c)).alias(c) for c in ("strided", "skip_first", "skip_last")], text(both).alias("both"), text(either).alias("either"), mask_bytes(F.col("strided")).alias("packed"), text(mask_from_bytes(mask_bytes(F.col("strided")), HEADS_N)).alias("unpacked"), F.array_join(F.transform(active, lambda i: i.cast("string")), ",").alias("active"))
+    active = F.filter(F.transform("_strided", lambda x, i: F.when(x == 1, i)), lambda i: i.isNotNull())
+    return m.select("layer", *[text(F.col(f"_{c}")).alias(c) for c in ("strided", "skip_first", "skip_last")], text(both).alias("both"), text(either).alias("either"), mask_bytes(F.col("_strided")).alias("packed"), text(mask_from_bytes(mask_bytes(F.col("_strided")), HEADS_N)).alias("unpacked"), F.array_join(F.transform(active, lambda i: i.cast("string")), ",").alias("active"))
 
 
 _M = f"m AS (SELECT CAST(layer AS INT) AS layer, i, CASE WHEN i % 3 <> 0 THEN 1 ELSE 0 END AS s, CASE WHEN i >= 5 OR i < 2 THEN 1 ELSE 0 END AS f, CASE WHEN i < 2 OR i IN (2, 3) THEN 1 ELSE 0 END AS l FROM range({LAYERS_N}) a(layer), range({HEADS_N}) b(i))"
@@ -273,10 +273,10 @@ def bandwidth(events: DataFrame, seconds: int = 86_400, samples: int = 10) -> Da
     top = F.aggregate(F.transform("recent", lambda x, i: x["rate"] * (i + 1)), F.lit(0.0), lambda a, x: a + x)
     n = F.size("recent")
     last = along().rowsBetween(-19, 0)
-    return e.select("event_id", _r(top / (n * (n + 1) / 2), 4).alias("weighted"), _r(F.sum("b").over(last) / F.sum("s").over(last) * 8, 4).alias("bits_per_s"))
+    return e.select("event_id", _r(top / (n * (n + 1) / 2), 3).alias("weighted"), _r(F.sum("b").over(last) / F.sum("s").over(last) * 8, 2).alias("bits_per_s"))
 
 
-REG.add("bandwidth", bandwidth, f"WITH e AS (SELECT event_id, user_id, ts, value AS b, (event_id % 5 + 1)::DOUBLE AS s, row_number() OVER ({_ORDER}) AS i FROM events), w AS (SELECT x.event_id, y.b / y.s AS rate, row_number() OVER (PARTITION BY x.event_id ORDER BY y.i) AS k FROM e x JOIN e y ON x.user_id = y.user_id AND y.i BETWEEN x.i - 9 AND x.i AND y.ts >= x.ts - INTERVAL 1 DAY), a AS (SELECT event_id, sum(rate * k) / sum(k) AS weighted FROM w GROUP BY 1), t AS (SELECT event_id, sum(b) OVER l / sum(s) OVER l * 8 AS bits FROM e WINDOW l AS (PARTITION BY user_id ORDER BY i ROWS 19 PRECEDING)) SELECT event_id, round(weighted, 4) AS weighted, round(bits, 4) AS bits_per_s FROM a JOIN t USING (event_id)", "events")
+REG.add("bandwidth", bandwidth, f"WITH e AS (SELECT event_id, user_id, ts, value AS b, (event_id % 5 + 1)::DOUBLE AS s, row_number() OVER ({_ORDER}) AS i FROM events), w AS (SELECT x.event_id, y.b / y.s AS rate, row_number() OVER (PARTITION BY x.event_id ORDER BY y.i) AS k FROM e x JOIN e y ON x.user_id = y.user_id AND y.i BETWEEN x.i - 9 AND x.i AND y.ts >= x.ts - INTERVAL 1 DAY), a AS (SELECT event_id, sum(rate * k) / sum(k) AS weighted FROM w GROUP BY 1), t AS (SELECT event_id, sum(b) OVER l / sum(s) OVER l * 8 AS bits FROM e WINDOW l AS (PARTITION BY user_id ORDER BY i ROWS 19 PRECEDING)) SELECT event_id, round(weighted, 3) AS weighted, round(bits, 2) AS bits_per_s FROM a JOIN t USING (event_id)", "events")
 
 
 def schedule(spark) -> DataFrame:
