@@ -119,3 +119,14 @@ def added(docs: DataFrame, **columns: Column) -> DataFrame:
 def boxed(docs: DataFrame, **columns: Column) -> DataFrame:
     """Only ``row``, a struct of all columns of ``docs``, and new columns, computed from the names of ``docs``: no names can clash. ``select("row.*")`` undoes it."""
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[v.alias(k) for k, v in columns.items()])
+
+
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """Names made of the given ones that no column of ``docs`` has."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        name = f"_{name}"
+        while name in taken:
+            name += "_"
+        out.append(name)
+    return out

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import boxed, cut, number_rows, prefix_sums, words
+from .common import cut, fresh, number_rows, prefix_sums, words
 
 DIGIT_BITS, LEVELS = 12, 4
 #: Above so many sources the per-source table is joined by an exchange instead of a broadcast.
@@ -116,12 +116,14 @@ def mix(docs: DataFrame, weights=(5, 2, 1), cap: int = 3) -> DataFrame:
 
 def mixed_documents(docs: DataFrame, weights=(5, 2, 1), cap: int = 3) -> DataFrame:
     """The mix itself: every row of ``docs`` as often as the mix takes it."""
-    size, h = F.size(words(F.col("text"))).cast("long"), doc_hash(F.col("doc_id"), F.col("text"))
-    rows = boxed(docs, source=F.col("source"), size=size, _h=h)
-    state, n = thresholds(cut(rows.drop("row")), weights, cap)
-    copies = F.col("_whole") + F.when((F.col("size") > 0) & (F.col("_h") < F.col("_threshold")), 1).otherwise(0)
-    out = _with_sources(rows, state.select("source", "_whole", "_threshold"), n).select("row", copies.cast("int").alias("copies")).where("copies > 0")
-    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
+    size, h, whole, threshold, key, copies, nth = fresh(docs, "size", "h", "whole", "threshold", "key", "copies", "nth")
+    sized = docs.withColumn(size, F.size(words(F.col("text"))).cast("long")).withColumn(h, doc_hash(F.col("doc_id"), F.col("text")))
+    state, n = thresholds(cut(sized.select("source", F.col(size).alias("size"), F.col(h).alias("_h"))), weights, cap)
+    side = state.select(F.col("source").alias(key), F.col("_whole").alias(whole), F.col("_threshold").alias(threshold))
+    out = sized.join(F.broadcast(side) if n <= BROADCAST_SOURCES else side, F.col("source").eqNullSafe(F.col(key)))
+    taken = F.col(whole) + F.when((F.col(size) > 0) & (F.col(h) < F.col(threshold)), 1).otherwise(0)
+    out = out.withColumn(copies, taken.cast("int")).where(F.col(copies) > 0)
+    return out.withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)
 
 
 def op6_mix_sources(spark, sf_dir) -> DataFrame:

@@ -119,6 +119,7 @@ class FactorizationMachine:
 
     def scorer(self):
         """A function from a text to its score."""
+        table = np.column_stack([self.w, *self.v])  # a term's weight and factors lie side by side
 
         @lru_cache(maxsize=1 << 17)
         def known(word: str) -> tuple[int, ...]:
@@ -127,15 +128,15 @@ class FactorizationMachine:
             return tuple(int(x) for x, t in zip(i, at, strict=True) if x < len(self.terms) and self.terms[x] == t)
 
         def score(text: str | None) -> float:
-            ids: set[int] = set()
-            for w in set(_WORDS((text or "").lower())):
-                ids.update(known(w))
+            ids = set().union(*map(known, set(_WORDS((text or "").lower()))))
             z = self.w0
             if ids:
-                i = np.fromiter(sorted(ids), dtype=np.int64)
-                v = self.v[:, i].astype(np.float64)
-                z += float(self.w[i].sum(dtype=np.float64)) + 0.5 * float((v.sum(1) ** 2 - (v**2).sum(1)).sum())
-            return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+                i = np.fromiter(ids, dtype=np.int64, count=len(ids))
+                i.sort()
+                x = table[i].astype(np.float64)
+                total = x.sum(0)
+                z += total[0] + 0.5 * (total[1:] @ total[1:] - np.einsum("ij,ij->", x[:, 1:], x[:, 1:]))
+            return float(1 / (1 + np.exp(-min(max(z, -30), 30))))
 
         return score
 
