@@ -74,23 +74,6 @@ def quality_grades(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.join(labels, "doc_id").groupBy(grade.alias("grade")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("quality").cast("double")), 6).alias("good"), F.min("n_chars").alias("least"), F.max("n_chars").alias("most"))
 
 
-def byte_entropy(docs: DataFrame) -> DataFrame:
-    """Per text: bytes, distinct bytes, Shannon entropy in bits, and whether it looks compressible."""
-    raw = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
-
-    def each(x: Column) -> Column:
-        at = F.when(F.octet_length(x) > 0, F.sequence(F.lit(1), F.octet_length(x)))
-        return F.transform(at, lambda i: F.hex(F.substring(x, i, 1)))
-
-    # The text is bound once and doesn't travel with its bytes.
-    b = docs.select("doc_id", F.explode_outer(F.element_at(F.transform(F.array(raw), each), 1)).alias("b"))
-    c = b.groupBy("doc_id", "b").agg(F.count("b").alias("c"))
-    # With counts c of n bytes: log2(n) - sum(c * log2(c)) / n.
-    g = c.groupBy("doc_id").agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("distinct_bytes"), F.sum(F.when(F.col("c") > 0, F.col("c") * F.log2("c")).otherwise(0.0)).alias("s"))
-    e = F.when(F.col("n") > 0, F.log2("n") - F.col("s") / F.col("n")).otherwise(0.0)
-    return g.select("doc_id", F.col("n").alias("n_bytes"), "distinct_bytes", F.abs(F.round(e, 5)).alias("entropy"), ((F.col("n") < 32) | (e < 7.5)).alias("compressible"))
-
-
 def hit_rates(events: DataFrame) -> DataFrame:
     """Per type of event: requests, hits (value over 50) and their rate."""
     hits = F.count_if(F.col("value") > 50)
@@ -206,7 +189,6 @@ QUERIES = {
     "floor_percentiles": _over(floor_percentiles, "lineitem"),
     "profiler_hotspots": _over(hotspots, "lineitem"),
     "quality_grades": _over(quality_grades, "documents", "labels"),
-    "byte_entropy": _over(byte_entropy, "documents"),
     "hit_rates": _over(hit_rates, "events"),
     "load_balance": _over(load_balance, "events"),
     "prefix_frequency": _over(prefix_frequency, "conversations"),
@@ -229,7 +211,6 @@ ORACLE_SQL = {
     "floor_percentiles": "SELECT l_returnflag, count(*) AS n, round(avg(l_quantity), 6) AS mean, round(stddev_pop(l_quantity), 6) AS std, " + ", ".join(f"list_sort(list(l_quantity))[CAST(floor(count(*) * {p} / 100) AS BIGINT) + 1] AS p{p}" for p in (25, 50, 75, 90, 95)) + " FROM lineitem GROUP BY 1",
     "profiler_hotspots": "WITH g AS (SELECT l_returnflag, l_linestatus, count(*) AS calls, sum(l_quantity) AS total, min(l_quantity) AS least, max(l_quantity) AS most, avg(l_quantity) AS mean, stddev_pop(l_quantity) AS std FROM lineitem GROUP BY 1, 2), p AS (SELECT *, round(total / sum(total) OVER () * 100, 6) AS percent FROM g) SELECT l_returnflag, l_linestatus, calls, round(total, 2) AS total, least, most, round(mean, 6) AS mean, round(std, 6) AS std, percent, CASE WHEN percent > 50 THEN 'dominant' WHEN std > mean THEN 'variance' WHEN most > 10 * mean THEN 'long tail' ELSE 'none' END AS bottleneck FROM p",
     "quality_grades": "SELECT CASE WHEN n_chars >= 8000 THEN 'A' WHEN n_chars >= 2000 THEN 'B' WHEN n_chars >= 500 THEN 'C' ELSE 'F' END AS grade, count(*) AS n, round(avg(quality), 6) AS good, min(n_chars) AS least, max(n_chars) AS most FROM documents JOIN labels USING (doc_id) GROUP BY 1",
-    "byte_entropy": "WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents), b AS (SELECT doc_id, substr(h, 2 * i + 1, 2) AS b FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2)) AS i FROM h)), c AS (SELECT doc_id, b, count(*) AS c FROM b GROUP BY 1, 2), g AS (SELECT d.doc_id, CAST(coalesce(sum(c), 0) AS BIGINT) AS n, count(c) AS distinct_bytes, sum(c * log2(c)) AS s FROM h d LEFT JOIN c USING (doc_id) GROUP BY 1) SELECT doc_id, n AS n_bytes, distinct_bytes, abs(round(CASE WHEN n > 0 THEN log2(n) - s / n ELSE 0 END, 5)) AS entropy, n < 32 OR log2(n) - s / n < 7.5 AS compressible FROM g",
     "hit_rates": "SELECT event_type, count(*) AS requests, count(*) FILTER (value > 50) AS hits, round(count(*) FILTER (value > 50) / count(*), 6) AS hit_rate FROM events GROUP BY 1",
     "load_balance": "WITH n AS (SELECT event_type, user_id, count(*) AS n FROM events GROUP BY 1, 2), g AS (SELECT event_type, count(*) AS users, avg(n) AS mean, max(n) AS most FROM n GROUP BY 1) SELECT event_type, users, round(mean, 6) AS mean, most, round(mean / most, 6) AS balance, round(greatest(1, least(2, most / mean)), 6) AS capacity FROM g",
     "prefix_frequency": r"WITH p AS (SELECT list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w, length(coalesce(text, '')) AS n FROM conversations WHERE role = 'user') SELECT array_to_string(w[1:2], ' ') AS prefix, count(*) AS n, round(avg(n), 6) AS mean_chars FROM p WHERE len(w) >= 2 GROUP BY 1 HAVING count(*) >= 2",

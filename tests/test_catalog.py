@@ -6,7 +6,7 @@ import pytest
 from compare import difference, duck
 from pyspark.sql import functions as F
 
-from quern.operators import records, similarity, vectors
+from quern.operators import blobs, records, similarity, vectors
 from quern.plans.catalog import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -62,4 +62,4 @@ def test_vector_edges(spark):
 
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
-    assert similarity.similar_pairs(docs).count() == similarity.exact_classes(docs).count() == records.byte_entropy(docs).count() == 0
+    assert similarity.similar_pairs(docs).count() == similarity.exact_classes(docs).count() == blobs.byte_entropy(docs).count() == 0
