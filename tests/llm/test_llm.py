@@ -367,7 +367,7 @@ def test_op7_learns_pairs(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(a != b)) for i, (a, b) in enumerate(has)], "doc_id long, toxic int")
     one = toxicity.fit_toxicity(docs, labels).scorer()
-    assert min(one("alpha w5"), one("omega w5")) > 0.6 and max(one("alpha omega w5"), one("w5 w6")) < 0.4
+    assert min(one("alpha w5"), one("omega w5")) > max(one("alpha omega w5"), one("w5 w6")) + 0.25 and one("alpha omega w5") < 0.3
 
 
 def test_scores_by_hand(spark):
