@@ -1,4 +1,4 @@
-"""Vector metrics, exact nearest neighbours, INT4 blocks, codebooks, DCT energy and model merges.
+"""Vector metrics, exact nearest neighbours, INT4 blocks and model merges.
 
 Vectors are arrays of floats, taken as doubles. Long form is (id, pos, v).
 Rounding is half away from zero.
@@ -6,14 +6,12 @@ Rounding is half away from zero.
 
 from __future__ import annotations
 
-from math import cos, pi, sqrt
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.session import table
 
-BLOCK, SIZE, KNN, QUERY_BLOCKS = 32, 64, 10, 16
+BLOCK, KNN, BLOCK_ROWS = 32, 10, 4096
 
 
 def doubles(col: str = "embedding") -> Column:
@@ -64,16 +62,18 @@ def int4_quality(vectors: DataFrame) -> DataFrame:
 def knn(vectors: DataFrame, k: int = KNN) -> DataFrame:
     """(query_id, rank, vec_id, similarity): for every id divisible by 20, the k most similar others.
 
-    Queries and rows meet in blocks: each row is in one of QUERY_BLOCKS, each
-    query in all; every block keeps k a query before the last ranking.
+    A stated query set against all rows: each row is in one block of some
+    BLOCK_ROWS, each query in all; every block keeps k a query before the last
+    ranking, which is by the full values.
     """
+    blocks = max(16, -(-vectors.count() // BLOCK_ROWS))
     v = vectors.select("vec_id", doubles().alias("v"))
-    q = v.where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(QUERY_BLOCKS - 1))).alias("block"))
-    x = v.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(QUERY_BLOCKS)).cast("int"))
-    s = q.join(x, "block").where("query_id <> vec_id").select("query_id", "block", "vec_id", F.round(cosine(F.col("q"), F.col("v")), 6).alias("similarity"))
+    q = v.where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    x = v.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
+    s = q.join(x, "block").where("query_id <> vec_id").select("query_id", "block", "vec_id", cosine(F.col("q"), F.col("v")).alias("similarity"))
     order = [F.desc("similarity"), F.asc("vec_id")]
     part = s.withColumn("r", F.row_number().over(Window.partitionBy("query_id", "block").orderBy(*order))).where(F.col("r") <= k)
-    return part.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "similarity")
+    return part.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", F.round("similarity", 6).alias("similarity"))
 
 
 def centroids(vectors: DataFrame, by: str = "label") -> DataFrame:
@@ -81,37 +81,6 @@ def centroids(vectors: DataFrame, by: str = "label") -> DataFrame:
     return long_form(vectors, by).groupBy(F.col(by).alias("code"), "pos").agg(F.avg("v").alias("c"))
 
 
-def codebook_assign(vectors: DataFrame) -> DataFrame:
-    """(vec_id, code, distance): the nearest of the label centroids, the lowest code of equals."""
-    m = long_form(vectors).join(centroids(vectors), "pos")
-    d = m.groupBy("vec_id", "code").agg(F.round(F.sum((F.col("v") - F.col("c")) * (F.col("v") - F.col("c"))), 6).alias("distance"))
-    return d.groupBy("vec_id").agg(F.min(F.struct("distance", "code")).alias("b")).select("vec_id", F.col("b.code").alias("code"), F.col("b.distance").alias("distance"))
-
-
-def codebook_usage(vectors: DataFrame) -> DataFrame:
-    """(code, used, mse) for every code, unused ones included."""
-    a = codebook_assign(vectors).groupBy("code").agg(F.count(F.lit(1)).alias("used"), F.avg("distance").alias("mse"))
-    return centroids(vectors).select("code").distinct().join(a, "code", "left").select("code", F.coalesce("used", F.lit(0)).alias("used"), F.round(F.coalesce("mse", F.lit(0.0)), 5).alias("mse"))
-
-
-def dct(vectors: DataFrame, n: int = SIZE) -> DataFrame:
-    """(vec_id, k, c): orthonormal DCT-II of vectors of length n; the basis is a literal of n * n doubles."""
-    basis = vectors.sparkSession.createDataFrame([(i, k, cos(pi * (2 * i + 1) * k / (2 * n)) * sqrt((1 if k == 0 else 2) / n)) for i in range(n) for k in range(n)], "pos int, k int, w double")
-    return long_form(vectors).join(F.broadcast(basis), "pos").groupBy("vec_id", "k").agg(F.sum(F.col("v") * F.col("w")).alias("c"))
-
-
-def spectrum(vectors: DataFrame, n: int = SIZE) -> DataFrame:
-    """Per vector: coefficients that hold 90, 95 and 99 % of the energy, the knee by curvature and the retention for 95 %."""
-    e = dct(vectors, n).select("vec_id", "k", F.round(F.col("c") * F.col("c"), 9).alias("e"))
-    w = Window.partitionBy("vec_id").orderBy(F.desc("e"), "k")
-    all_, upto = Window.partitionBy("vec_id"), w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    e = e.withColumn("r", F.row_number().over(w)).withColumn("cum", F.round(F.sum("e").over(upto) / F.sum("e").over(all_), 6))
-    e = e.withColumn("bend", F.round(F.lead("cum").over(w) - 2 * F.col("cum") + F.lag("cum").over(w), 6))
-    at = lambda t: F.min(F.when(F.col("cum") >= t, F.col("r"))).cast("long")
-    knee = F.min(F.when(F.col("bend").isNotNull(), F.struct("bend", "r")))["r"].cast("long")
-    return e.groupBy("vec_id").agg(at(0.9).alias("n90"), at(0.95).alias("n95"), at(0.99).alias("n99"), knee.alias("knee"), F.round(at(0.95) / float(n), 6).alias("retention"))
-
-
 def linear_merge(vectors: DataFrame) -> DataFrame:
     """(pos, v): the label means, merged by normalised weights 1 / (label + 1)."""
     m = centroids(vectors).withColumn("w", 1.0 / (F.col("code") + 1))
@@ -157,9 +126,6 @@ QUERIES = {
     "int4_codes": _over(lambda v: int4_blocks(v).select("vec_id", "block", F.round("scale", 6).alias("scale"), F.concat_ws(",", F.transform("codes", lambda c: c.cast("string"))).alias("codes"))),
     "vector_quality": _over(int4_quality),
     "cosine_topk": _over(knn),
-    "codebook_assign": _over(codebook_assign),
-    "codebook_usage": _over(codebook_usage),
-    "dct_retention": _over(spectrum),
     "linear_merge": _over(linear_merge),
     "ties_merge": _over(ties_merge),
     "dare_merge": _over(dare_merge),
@@ -169,19 +135,12 @@ _L = "l AS (SELECT vec_id, label, unnest(range(len(embedding))) AS pos, unnest(e
 _C = _L + ", c AS (SELECT label AS code, pos, avg(v) AS c FROM l GROUP BY 1, 2)"
 _D = _C + ", b AS (SELECT pos, avg(v) AS base FROM l GROUP BY 1), d AS (SELECT code, pos, base, round(c - base, 9) AS d FROM c JOIN b USING (pos))"
 _B = f"b AS (SELECT vec_id, CAST(pos // {BLOCK} AS INT) AS block, pos, v, max(abs(v)) OVER (PARTITION BY vec_id, pos // {BLOCK}) / 7 AS scale FROM l), q AS (SELECT *, CASE WHEN scale = 0 THEN 0 ELSE CAST(greatest(least(round(v / scale), 7), -8) AS INT) END AS code FROM b)"
-_A = f"WITH {_C}, x AS (SELECT vec_id, code, round(sum((v - c) * (v - c)), 6) AS distance FROM l JOIN c USING (pos) GROUP BY 1, 2), a AS (SELECT vec_id, code, distance FROM x QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY distance, code) = 1)"
 
 ORACLE_SQL = {
     "vector_stats": f"WITH {_L} SELECT vec_id, round(sqrt(sum(v * v)), 6) AS norm, round(sum(v), 6) AS total, round(max(v), 6) AS most, round(min(v), 6) AS least, count(*) FILTER (v <> 0) AS nonzero, count(*) FILTER (v > 0) AS positive FROM l GROUP BY vec_id",
     "int4_codes": f"WITH {_L}, {_B} SELECT vec_id, block, round(any_value(scale), 6) AS scale, string_agg(CAST(code AS VARCHAR), ',' ORDER BY pos) AS codes FROM q GROUP BY 1, 2",
     "vector_quality": f"WITH {_L}, {_B} SELECT vec_id, round(sum((v - code * scale) ** 2) / count(*), 9) AS mse, round(max(abs(v - code * scale)), 6) AS max_error, round(sum(v * code * scale) / sqrt(sum(v * v) * sum((code * scale) ** 2)), 6) AS cosine, round(10 * log10(sum(v * v) / sum((v - code * scale) ** 2)), 4) AS snr_db FROM q GROUP BY vec_id",
-    "cosine_topk": f"WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT q.vec_id AS query_id, x.vec_id, round(list_cosine_similarity(q.v, x.v), 6) AS similarity FROM v q JOIN v x ON q.vec_id % 20 = 0 AND q.vec_id <> x.vec_id) SELECT query_id, CAST(row_number() OVER w AS INT) AS rank, vec_id, similarity FROM s WINDOW w AS (PARTITION BY query_id ORDER BY similarity DESC, vec_id) QUALIFY row_number() OVER w <= {KNN}",
-    "codebook_assign": _A + " SELECT * FROM a",
-    "codebook_usage": _A + " SELECT k.code, count(a.vec_id) AS used, round(coalesce(avg(distance), 0), 5) AS mse FROM (SELECT DISTINCT code FROM c) k LEFT JOIN a USING (code) GROUP BY 1",
-    "dct_retention": f"""WITH {_L}, e AS (SELECT vec_id, k, round(sum(v * cos(pi() * (2 * pos + 1) * k / {2 * SIZE}) * sqrt(CASE WHEN k = 0 THEN 1 ELSE 2 END / {SIZE}.0)) ** 2, 9) AS e FROM l, range({SIZE}) r(k) GROUP BY 1, 2),
-      r AS (SELECT vec_id, row_number() OVER w AS r, round(sum(e) OVER (PARTITION BY vec_id ORDER BY e DESC, k ROWS UNBOUNDED PRECEDING) / sum(e) OVER (PARTITION BY vec_id), 6) AS cum FROM e WINDOW w AS (PARTITION BY vec_id ORDER BY e DESC, k)),
-      s AS (SELECT *, round(lead(cum) OVER w - 2 * cum + lag(cum) OVER w, 6) AS bend FROM r WINDOW w AS (PARTITION BY vec_id ORDER BY r))
-      SELECT vec_id, min(r) FILTER (cum >= 0.9) AS n90, min(r) FILTER (cum >= 0.95) AS n95, min(r) FILTER (cum >= 0.99) AS n99, arg_min(r, (bend, r)) FILTER (bend IS NOT NULL) AS knee, round(min(r) FILTER (cum >= 0.95) / {SIZE}.0, 6) AS retention FROM s GROUP BY vec_id""",
+    "cosine_topk": f"WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT q.vec_id AS query_id, x.vec_id, list_cosine_similarity(q.v, x.v) AS similarity FROM v q JOIN v x ON q.vec_id % 20 = 0 AND q.vec_id <> x.vec_id) SELECT query_id, CAST(row_number() OVER w AS INT) AS rank, vec_id, round(similarity, 6) AS similarity FROM s WINDOW w AS (PARTITION BY query_id ORDER BY similarity DESC, vec_id) QUALIFY row_number() OVER w <= {KNN}",
     "linear_merge": f"WITH {_C} SELECT CAST(pos AS INT) AS pos, round(sum(c / (code + 1)) / sum(1.0::DOUBLE / (code + 1)), 6) AS v FROM c GROUP BY 1",
     "ties_merge": f"""WITH {_D}, k AS (SELECT code, abs(d) AS cut FROM d QUALIFY row_number() OVER (PARTITION BY code ORDER BY abs(d), pos) - 1 = floor(count(*) OVER (PARTITION BY code) * 0.8)),
       t AS (SELECT d.*, CASE WHEN abs(d) >= cut THEN d ELSE 0 END AS t FROM d JOIN k USING (code)), s AS (SELECT pos, CASE WHEN sum(greatest(t, 0)) >= sum(greatest(-t, 0)) THEN 1 ELSE -1 END AS sign FROM t GROUP BY 1)
