@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from quern.operators import blobs, catalogs, records, series, similarity, tensors, vectors
+from quern.sources import containers
 
-_PARTS = (similarity, vectors, records, catalogs, series, blobs, tensors)
+_PARTS = (similarity, vectors, records, catalogs, series, blobs, tensors, containers)
 
 QUERIES = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
 ORACLE_SQL = {name: sql for part in _PARTS for name, sql in part.ORACLE_SQL.items()}
