@@ -273,10 +273,10 @@ def bandwidth(events: DataFrame, seconds: int = 86_400, samples: int = 10) -> Da
     top = F.aggregate(F.transform("recent", lambda x, i: x["rate"] * (i + 1)), F.lit(0.0), lambda a, x: a + x)
     n = F.size("recent")
     last = along().rowsBetween(-19, 0)
-    return e.select("event_id", _r(top / (n * (n + 1) / 2), 3).alias("weighted"), _r(F.sum("b").over(last) / F.sum("s").over(last) * 8, 2).alias("bits_per_s"))
+    return e.select("event_id", _r(top / (n * (n + 1) / 2) + 1e-7, 3).alias("weighted"), _r(F.sum("b").over(last) / F.sum("s").over(last) * 8 + 1e-7, 2).alias("bits_per_s"))
 
 
-REG.add("bandwidth", bandwidth, f"WITH e AS (SELECT event_id, user_id, ts, value AS b, (event_id % 5 + 1)::DOUBLE AS s, row_number() OVER ({_ORDER}) AS i FROM events), w AS (SELECT x.event_id, y.b / y.s AS rate, row_number() OVER (PARTITION BY x.event_id ORDER BY y.i) AS k FROM e x JOIN e y ON x.user_id = y.user_id AND y.i BETWEEN x.i - 9 AND x.i AND y.ts >= x.ts - INTERVAL 1 DAY), a AS (SELECT event_id, sum(rate * k) / sum(k) AS weighted FROM w GROUP BY 1), t AS (SELECT event_id, sum(b) OVER l / sum(s) OVER l * 8 AS bits FROM e WINDOW l AS (PARTITION BY user_id ORDER BY i ROWS 19 PRECEDING)) SELECT event_id, round(weighted, 3) AS weighted, round(bits, 2) AS bits_per_s FROM a JOIN t USING (event_id)", "events")
+REG.add("bandwidth", bandwidth, f"WITH e AS (SELECT event_id, user_id, ts, value AS b, (event_id % 5 + 1)::DOUBLE AS s, row_number() OVER ({_ORDER}) AS i FROM events), w AS (SELECT x.event_id, y.b / y.s AS rate, row_number() OVER (PARTITION BY x.event_id ORDER BY y.i) AS k FROM e x JOIN e y ON x.user_id = y.user_id AND y.i BETWEEN x.i - 9 AND x.i AND y.ts >= x.ts - INTERVAL 1 DAY), a AS (SELECT event_id, sum(rate * k) / sum(k) AS weighted FROM w GROUP BY 1), t AS (SELECT event_id, sum(b) OVER l / sum(s) OVER l * 8 AS bits FROM e WINDOW l AS (PARTITION BY user_id ORDER BY i ROWS 19 PRECEDING)) SELECT event_id, round(weighted + 1e-7, 3) AS weighted, round(bits + 1e-7, 2) AS bits_per_s FROM a JOIN t USING (event_id)", "events")
 
 
 def schedule(spark) -> DataFrame:
