@@ -206,7 +206,7 @@ def halves(vectors: DataFrame) -> DataFrame:
         for vs in batches:
             rows = []
             for v in vs:
-                x = np.asarray(v, dtype=np.float32)
+                x = np.asarray([] if v is None else v, dtype=np.float32)
                 u = x.view(np.uint32)
                 exp = (u >> 23 & 0xFF).astype(np.int64) - 112
                 h = (u >> 16 & 0x8000) | np.where(exp <= 0, 0, np.where(exp >= 31, 0x7C00, (np.clip(exp, 0, 31).astype(np.uint32) << 10) | (u >> 13 & 0x3FF)))

@@ -152,7 +152,7 @@ def category_hints(prompts: DataFrame, hints: DataFrame) -> DataFrame:
     return out.select("id", (F.row_number().over(w) - 1).alias("at"), "pattern", "priority")
 
 
-REG.add("merge_layers", _over_layers(lambda t: merge_layers(t, {"Brand#1": 0.5, "Brand#2": 0.3, "Brand#3": 0.2})), f"WITH {LAYERS}, m AS (SELECT layer, model, avg(price) AS v FROM layers WHERE model IN ('Brand#1', 'Brand#2', 'Brand#3') GROUP BY 1, 2) SELECT a.layer, round((0.5::DOUBLE * a.v + 0.3::DOUBLE * b.v + 0.2::DOUBLE * c.v) / (0.5::DOUBLE + 0.3::DOUBLE + 0.2::DOUBLE), 6) AS merged FROM m a JOIN m b ON a.layer = b.layer AND a.model = 'Brand#1' AND b.model = 'Brand#2' JOIN m c ON a.layer = c.layer AND c.model = 'Brand#3'", "part")
+REG.add("merge_layers", _over_layers(lambda t: merge_layers(t.withColumn("layer", N.fragment_type(F.col("layer"))), {"Brand#1": 0.5, "Brand#2": 0.3, "Brand#3": 0.2})), f"WITH {LAYERS}, m AS (SELECT {rules_sql(N.FRAGMENT_RULES, 'lower(layer)', 'Generic')} AS layer, model, avg(price) AS v FROM layers WHERE model IN ('Brand#1', 'Brand#2', 'Brand#3') GROUP BY 1, 2) SELECT a.layer, round((0.5::DOUBLE * a.v + 0.3::DOUBLE * b.v + 0.2::DOUBLE * c.v) / (0.5::DOUBLE + 0.3::DOUBLE + 0.2::DOUBLE), 6) AS merged FROM m a JOIN m b ON a.layer = b.layer AND a.model = 'Brand#1' AND b.model = 'Brand#2' JOIN m c ON a.layer = c.layer AND c.model = 'Brand#3'", "part")
 REG.add("merge_missing", _over_layers(lambda t: missing_layers(t, "Brand#1", ["Brand#2", "Brand#3"])), f"WITH {LAYERS} SELECT m.model, b.layer FROM (SELECT DISTINCT layer FROM layers WHERE model = 'Brand#1') b, (VALUES ('Brand#2'), ('Brand#3')) m(model) WHERE NOT EXISTS (SELECT 1 FROM layers l WHERE l.model = m.model AND l.layer = b.layer)", "part")
 REG.add("finetuned_layers", _over_layers(lambda t: with_finetuned(t.where("model = 'Brand#4'"), t.where("model = 'Brand#5'"))), f"WITH {LAYERS} SELECT b.layer, round(coalesce((SELECT avg(price) FROM layers t WHERE t.model = 'Brand#5' AND t.layer = b.layer), avg(b.price)), 6) AS value, EXISTS (SELECT 1 FROM layers t WHERE t.model = 'Brand#5' AND t.layer = b.layer) AS changed FROM layers b WHERE b.model = 'Brand#4' GROUP BY b.layer", "part")
 

@@ -82,8 +82,8 @@ def start_times(events: DataFrame) -> DataFrame:
     g = events.groupBy((F.col("user_id") % 10).alias("pool"), "value").agg(F.count_if(cold).alias("c"), F.count_if(~cold).alias("w"))
     pool = Window.partitionBy("pool")
     g = g.withColumn("upto", F.sum("c").over(pool.orderBy("value"))).withColumn("n", F.sum("c").over(pool))
-    mean = lambda x: _r(F.coalesce(F.sum(F.col("value") * F.col(x)) / F.sum(x), F.lit(0.0)))
-    return g.groupBy("pool").agg(mean("c").alias("cold_ms"), mean("w").alias("warm_ms"), _r(F.sum("c") / F.sum(F.col("c") + F.col("w"))).alias("cold_share"), F.min(F.when((F.col("c") > 0) & (F.col("upto") > F.least(F.floor(F.col("n") * 0.95), F.col("n") - 1)), F.col("value"))).alias("p95"))
+    mean = lambda x: _r(F.coalesce(F.try_divide(F.sum(F.col("value") * F.col(x)), F.sum(x)), F.lit(0.0)))
+    return g.groupBy("pool").agg(mean("c").alias("cold_ms"), mean("w").alias("warm_ms"), _r(F.try_divide(F.sum("c"), F.sum(F.col("c") + F.col("w")))).alias("cold_share"), F.min(F.when((F.col("c") > 0) & (F.col("upto") > F.least(F.floor(F.col("n") * 0.95), F.col("n") - 1)), F.col("value"))).alias("p95"))
 
 
 REG.add("cold_starts", start_times, "SELECT user_id % 10 AS pool, round(coalesce(avg(value) FILTER (event_type = 'error'), 0), 6) AS cold_ms, round(avg(value) FILTER (event_type <> 'error'), 6) AS warm_ms, round(count(*) FILTER (event_type = 'error') / count(*), 6) AS cold_share, list_sort(list(value) FILTER (event_type = 'error'))[CAST(least(floor(count(*) FILTER (event_type = 'error') * 0.95), count(*) FILTER (event_type = 'error') - 1) AS BIGINT) + 1] AS p95 FROM events GROUP BY 1", "events")
@@ -182,7 +182,7 @@ def prune_threshold(heads: DataFrame) -> DataFrame:
     """TOP14, AGG10: one row: the importance at floor(n / 2), n / 4 and 3n / 4 of the sorted list, with mean, spread and bounds."""
     s = F.sort_array(F.collect_list("importance"))  # a value per head
     n = F.count(F.lit(1))
-    at = lambda p: F.element_at(s, (F.floor(n * p) + 1).cast("int"))
+    at = lambda p: F.get(s, F.floor(n * p).cast("int"))
     return heads.agg(n.alias("heads"), *[_r(x, 5).alias(k) for k, x in (("mean", F.avg("importance")), ("std", F.stddev_pop("importance")), ("least", F.min("importance")), ("most", F.max("importance")), ("p25", at(0.25)), ("median", at(0.5)), ("p75", at(0.75)), ("p90", at(0.9)))])
 
 
@@ -273,7 +273,7 @@ def bandwidth(events: DataFrame, seconds: int = 86_400, samples: int = 10) -> Da
     top = F.aggregate(F.transform("recent", lambda x, i: x["rate"] * (i + 1)), F.lit(0.0), lambda a, x: a + x)
     n = F.size("recent")
     last = along().rowsBetween(-19, 0)
-    return e.select("event_id", _r(top / (n * (n + 1) / 2) + 1e-7, 3).alias("weighted"), _r(F.sum("b").over(last) / F.sum("s").over(last) * 8 + 1e-7, 2).alias("bits_per_s"))
+    return e.select("event_id", _r(F.try_divide(top, n * (n + 1) / 2) + 1e-7, 3).alias("weighted"), _r(F.sum("b").over(last) / F.sum("s").over(last) * 8 + 1e-7, 2).alias("bits_per_s"))
 
 
 REG.add("bandwidth", bandwidth, f"WITH e AS (SELECT event_id, user_id, ts, value AS b, (event_id % 5 + 1)::DOUBLE AS s, row_number() OVER ({_ORDER}) AS i FROM events), w AS (SELECT x.event_id, y.b / y.s AS rate, row_number() OVER (PARTITION BY x.event_id ORDER BY y.i) AS k FROM e x JOIN e y ON x.user_id = y.user_id AND y.i BETWEEN x.i - 9 AND x.i AND y.ts >= x.ts - INTERVAL 1 DAY), a AS (SELECT event_id, sum(rate * k) / sum(k) AS weighted FROM w GROUP BY 1), t AS (SELECT event_id, sum(b) OVER l / sum(s) OVER l * 8 AS bits FROM e WINDOW l AS (PARTITION BY user_id ORDER BY i ROWS 19 PRECEDING)) SELECT event_id, round(weighted + 1e-7, 3) AS weighted, round(bits + 1e-7, 2) AS bits_per_s FROM a JOIN t USING (event_id)", "events")

@@ -139,10 +139,10 @@ def bands(signatures: DataFrame, n: int = BANDS) -> DataFrame:
     return signatures.withColumn("k", F.explode(keys)).select("*", "k.*").drop("k")
 
 
-def find_similar(asked: DataFrame, index: DataFrame, least: float = SIMILAR, most: int | None = 10) -> DataFrame:
+def find_similar(asked: DataFrame, index: DataFrame, least: float = SIMILAR, most: int | None = 10, n: int = BANDS) -> DataFrame:
     """SIM6-7, JOIN4: (query_id, rank, doc_id, similarity, match): of the rows of ``index`` that share a band with an asked signature, the ``most`` most similar ones of at least ``least``. The asked ones are a stated set."""
-    q = bands(asked).select(F.col("doc_id").alias("query_id"), "band", "key")
-    cand = q.join(bands(index).select("doc_id", "band", "key"), ["band", "key"]).where("query_id <> doc_id").select("query_id", "doc_id").distinct()
+    q = bands(asked, n).select(F.col("doc_id").alias("query_id"), "band", "key")
+    cand = q.join(bands(index, n).select("doc_id", "band", "key"), ["band", "key"]).where("query_id <> doc_id").select("query_id", "doc_id").distinct()
     body = lambda t, i, s: t.select(F.col("doc_id").alias(i), F.struct("simhash", "minhash", "stats", "bins").alias(s))
     full = cand.join(body(asked, "query_id", "a"), "query_id").join(body(index, "doc_id", "b"), "doc_id")
     scored = full.select("query_id", "doc_id", F.round(similarity("a", "b"), 9).alias("similarity")).where(F.col("similarity") >= least)
@@ -152,9 +152,9 @@ def find_similar(asked: DataFrame, index: DataFrame, least: float = SIMILAR, mos
 
 
 def similar_documents(docs: DataFrame) -> DataFrame:
-    """SIM7: every tenth id asked, weak matches from 0.4 on included."""
+    """SIM7: every tenth id asked, in bands of two bytes, weak matches from 0.4 on included."""
     s = distinct_signed(docs)
-    return find_similar(s.where("doc_id % 10 = 0"), s, 0.4).select("query_id", "rank", "doc_id", F.round("similarity", 5).alias("similarity"), "match")
+    return find_similar(s.where("doc_id % 10 = 0"), s, 0.4, n=16).select("query_id", "rank", "doc_id", F.round("similarity", 5).alias("similarity"), "match")
 
 
 def duplicate_lookup(docs: DataFrame) -> DataFrame:
@@ -210,7 +210,7 @@ _SIGNED = f"""x AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM doc
     FROM x LEFT JOIN sm USING (doc_id) LEFT JOIN f2 USING (doc_id) LEFT JOIN f4 USING (doc_id))"""
 _CLASSES = f"{_SIGNED}, cl AS (SELECT min(doc_id) AS doc_id, count(*) AS copies, any_value(simhash) AS simhash, any_value(minhash) AS minhash, any_value(stats) AS stats, any_value(bins) AS bins FROM sg GROUP BY h)"
 _HAM = " + ".join(f"bit_count(xor(CAST('0x' || substr(a.simhash, {8 * i + 1}, 8) AS BIGINT), CAST('0x' || substr(b.simhash, {8 * i + 1}, 8) AS BIGINT)))" for i in range(8))
-_PAIRS = f"""{_CLASSES}, bd AS (SELECT doc_id, r.b, substr(simhash, 8 * r.b + 1, 8) AS k FROM cl, range({BANDS}) r(b)), cd AS (SELECT DISTINCT p.doc_id AS p, q.doc_id AS q FROM bd p JOIN bd q ON p.b = q.b AND p.k = q.k AND p.doc_id <> q.doc_id),
+_PAIRS = f"""{_CLASSES}, bd AS (SELECT doc_id, r.b, substr(simhash, $w * r.b + 1, $w) AS k FROM cl, range(64 // $w) r(b)), cd AS (SELECT DISTINCT p.doc_id AS p, q.doc_id AS q FROM bd p JOIN bd q ON p.b = q.b AND p.k = q.k AND p.doc_id <> q.doc_id),
   sc AS (SELECT p, q, round((1 - ({_HAM}) / 256.0::DOUBLE) * 0.4::DOUBLE + list_sum(list_transform(range(1, {HASHES + 1}), lambda i: CASE WHEN a.minhash[i] = b.minhash[i] THEN 1 ELSE 0 END)) / {HASHES}.0::DOUBLE * 0.4::DOUBLE
     + ((1 - abs(a.stats[1] - b.stats[1]) / 65535.0::DOUBLE) * 0.3::DOUBLE + (1 - abs(a.stats[2] - b.stats[2]) / 65535.0::DOUBLE) * 0.2::DOUBLE + CASE WHEN list_sum(a.bins) > 0 AND list_sum(b.bins) > 0 THEN list_cosine_similarity(a.bins::DOUBLE[], b.bins::DOUBLE[]) ELSE 0 END * 0.5) * 0.2::DOUBLE, 9) AS s
     FROM cd JOIN cl a ON a.doc_id = p JOIN cl b ON b.doc_id = q)"""
@@ -219,9 +219,9 @@ _GRAMS = r"SELECT DISTINCT {k} array_to_string(w[i : i + 7], ' ') AS gram FROM (
 _text = lambda c: F.concat_ws(",", F.transform(c, lambda x: x.cast("string")))
 REG.add("dedup_exact", exact_classes, "SELECT substr(sha256(coalesce(text, '')), 1, 32) AS content_id, min(doc_id) AS doc_id, count(*) AS copies, CAST(max(strlen(coalesce(text, ''))) * (count(*) - 1) AS BIGINT) AS saved_bytes FROM documents GROUP BY 1", "documents")
 REG.add("fragment_signatures", lambda d: signed(d).select("doc_id", "simhash", F.md5(_text("minhash")).alias("minhash"), _text("stats").alias("stats"), _text("bins").alias("bins")), f"WITH {_SIGNED} SELECT doc_id, simhash, md5(array_to_string(minhash, ',')) AS minhash, array_to_string(stats, ',') AS stats, array_to_string(bins, ',') AS bins FROM sg", "documents")
-REG.add("similar_documents", similar_documents, f"WITH {_PAIRS} SELECT p AS query_id, CAST(row_number() OVER (PARTITION BY p ORDER BY s DESC, q) AS INT) AS rank, q AS doc_id, round(s, 5) AS similarity, {_CLASS} AS match FROM sc WHERE p % 10 = 0 AND s >= 0.4 QUALIFY row_number() OVER (PARTITION BY p ORDER BY s DESC, q) <= 10", "documents")
-REG.add("duplicate_lookup", duplicate_lookup, f"WITH {_PAIRS} SELECT p AS query_id, q AS doc_id, {_CLASS} AS match FROM sc WHERE p % 2 = 0 AND s >= {NEAR} QUALIFY row_number() OVER (PARTITION BY p ORDER BY s DESC, q) = 1", "documents")
-REG.add("dedup_near", deduplicated, f"WITH {_PAIRS} SELECT doc_id, least(doc_id, coalesce((SELECT min(q) FROM sc WHERE p = doc_id AND s >= {NEAR}), doc_id)) AS leader, copies FROM cl", "documents")
+REG.add("similar_documents", similar_documents, "WITH " + _PAIRS.replace("$w", "4") + f" SELECT p AS query_id, CAST(row_number() OVER (PARTITION BY p ORDER BY s DESC, q) AS INT) AS rank, q AS doc_id, round(s, 5) AS similarity, {_CLASS} AS match FROM sc WHERE p % 10 = 0 AND s >= 0.4 QUALIFY row_number() OVER (PARTITION BY p ORDER BY s DESC, q) <= 10", "documents")
+REG.add("duplicate_lookup", duplicate_lookup, "WITH " + _PAIRS.replace("$w", "8") + f" SELECT p AS query_id, q AS doc_id, {_CLASS} AS match FROM sc WHERE p % 2 = 0 AND s >= {NEAR} QUALIFY row_number() OVER (PARTITION BY p ORDER BY s DESC, q) = 1", "documents")
+REG.add("dedup_near", deduplicated, "WITH " + _PAIRS.replace("$w", "8") + f" SELECT doc_id, least(doc_id, coalesce((SELECT min(q) FROM sc WHERE p = doc_id AND s >= {NEAR}), doc_id)) AS leader, copies FROM cl", "documents")
 REG.add("lsh_bucket_stats", bucket_stats, f"WITH {_CLASSES}, b AS (SELECT r.b, substr(simhash, 8 * r.b + 1, 8) AS k, count(*) AS n FROM cl, range({BANDS}) r(b) GROUP BY 1, 2) SELECT round(sum(n) / {BANDS}, 6) AS fragments, count(*) AS buckets, round(sum(n) / {BANDS} / count(*), 6) AS avg_bucket, round(sum(n) / count(*), 6) AS memberships, max(n) AS largest FROM b", "documents")
 REG.add("benchmark_contamination", lambda d, b: shared_grams(d, b), f"WITH d AS ({_GRAMS.format(k='doc_id,', t='documents')}), b AS ({_GRAMS.format(k='', t='benchmark')}) SELECT doc_id, count(*) AS shared FROM d JOIN b USING (gram) GROUP BY doc_id", "documents", "benchmark")
 QUERIES, ORACLE_SQL = REG.queries, REG.sql

@@ -307,7 +307,7 @@ def hybrid_quality(vectors: DataFrame) -> DataFrame:
 
     @F.pandas_udf("double")
     def kept(v: pd.Series, k: pd.Series, i: pd.Series) -> pd.Series:
-        return pd.Series([_cos(np.asarray(a, float), hybrid(np.asarray(a, float), b, importance=c)) for a, b, c in zip(v, k, i, strict=True)])
+        return pd.Series([None if a is None else _cos(np.asarray(a, float), hybrid(np.asarray(a, float), b, importance=c)) for a, b, c in zip(v, k, i, strict=True)], dtype=float)
 
     t = vectors.select("vec_id", "embedding", kind.alias("kind"), value.alias("i"))
     return t.select("vec_id", "kind", F.round(kept("embedding", "kind", "i"), 3).alias("cosine"))
@@ -403,6 +403,8 @@ def flattened(shape: list[int]) -> tuple[int, int]:
 
 
 def nearest_code(v: np.ndarray, codes: np.ndarray, centres: np.ndarray) -> tuple:
+    if not len(codes) or centres.shape[1] != len(v):
+        return None, None
     d = ((centres - v) ** 2).sum(1)
     at = int(d.argmin())
     return int(codes[at]), float(d[at])
@@ -414,11 +416,11 @@ def label_centroids(vectors: DataFrame, by: str = "label", most: int = 4096) ->
     rows = long.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("pos", "c"))).alias("c")).where(F.col(by).isNotNull()).orderBy(by).limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError(f"a codebook of more than {most} codes")
-    return np.array([r[by] for r in rows], dtype=np.int64), np.array([[x["c"] for x in r["c"]] for r in rows], dtype=float).reshape(len(rows), -1)
+    return np.array([r[by] for r in rows], dtype=np.int64), np.array([[x["c"] for x in r["c"]] for r in rows], dtype=float) if rows else np.zeros((0, 0))
 
 
 def assigned(vectors: DataFrame, codes: np.ndarray, centres: np.ndarray) -> DataFrame:
-    """JOIN11: (vec_id, code, distance): the nearest centroid, the lowest code of equals. The codebook travels with the function; nothing is exchanged."""
+    """JOIN11: (vec_id, code, distance): the nearest centroid, the lowest code of equals; null without a centroid of the vector's length. The codebook travels with the function; nothing is exchanged."""
     share_code(vectors.sparkSession)
     s = per_vector(nearest_code, "code int, distance double", ("code", "distance"), codes=codes, centres=centres)
     return vectors.select("vec_id", "embedding", s.alias("s")).select("vec_id", "embedding", "s.code", "s.distance")
@@ -461,6 +463,8 @@ def train_codebook(vectors: DataFrame, codes: int = 8, rounds: int = 5, toleranc
         rows = vectors.where("embedding IS NOT NULL").orderBy(F.md5(F.col("vec_id").cast("string")), "vec_id").limit(codes).collect()
         start = np.array([r["embedding"] for r in rows], dtype=float)
     names, centres, errors = np.arange(len(start)), start, []
+    if not len(start):
+        return np.zeros((0, 0)), []
     for _ in range(rounds):
         centres, mse = lloyd_step(vectors, names, centres)
         if errors and abs(errors[-1] - mse) < tolerance:
@@ -471,18 +475,22 @@ def train_codebook(vectors: DataFrame, codes: int = 8, rounds: int = 5, toleranc
 
 def codebook_step(vectors: DataFrame, codes: int = 8) -> DataFrame:
     """Q3: (code, pos, c): centroids after one step from the vectors of the lowest ids."""
-    rows = vectors.orderBy("vec_id").limit(codes).collect()
+    rows = vectors.where("embedding IS NOT NULL").orderBy("vec_id").limit(codes).collect()
+    if not rows:
+        return vectors.sparkSession.createDataFrame([], "code int, pos int, c double")
     centres, _ = lloyd_step(vectors, np.arange(len(rows)), np.array([r["embedding"] for r in rows], dtype=float))
     return vectors.sparkSession.createDataFrame([(i, j, float(half_away(np.array(x), 5))) for i, c in enumerate(centres) for j, x in enumerate(c)], "code int, pos int, c double")
 
 
 REG.add("codebook_step", codebook_step, f"WITH {_L}, s AS (SELECT row_number() OVER (PARTITION BY pos ORDER BY vec_id) - 1 AS code, pos, v AS c FROM l WHERE vec_id IN (SELECT vec_id FROM embeddings ORDER BY vec_id LIMIT 8)), x AS (SELECT vec_id, code, sum((v - c) ** 2) AS d FROM l JOIN s USING (pos) GROUP BY 1, 2), a AS (SELECT vec_id, code FROM x QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, code) = 1) SELECT CAST(s.code AS INT) AS code, CAST(s.pos AS INT) AS pos, round(coalesce(avg(l.v), 0), 5) AS c FROM s LEFT JOIN a ON a.code = s.code LEFT JOIN l ON l.vec_id = a.vec_id AND l.pos = s.pos GROUP BY 1, 2", "embeddings")
-REG.add("codebook_train", lambda v: v.sparkSession.createDataFrame([(i, float(x)) for i, x in enumerate(train_codebook(v)[1])], "round int, mse double"), None, "embeddings")
+REG.add("codebook_train", lambda v: v.sparkSession.createDataFrame(list(enumerate(map(float, train_codebook(v)[1]))), "round int, mse double"), None, "embeddings")
 
 
 def encoded(v: np.ndarray, codes: np.ndarray, centres: np.ndarray) -> tuple:
     """Q4-5, JOIN12: code, int8 residuals (cut off, scale greatest / 127; none below 1e-6), mse without and with them."""
     code, d = nearest_code(v, codes, centres)
+    if code is None:
+        return None, None, None, None, None
     r = v - centres[int(np.flatnonzero(codes == code)[0])]
     most = np.abs(r).max() if len(r) else 0.0
     scale = most / 127 if most >= 1e-6 else 0.0
@@ -493,6 +501,8 @@ def encoded(v: np.ndarray, codes: np.ndarray, centres: np.ndarray) -> tuple:
 def multi_level(v: np.ndarray, levels: int = 3) -> tuple:
     """Q6: mean squared errors after each of several int8 levels with scale greatest / 120."""
     r, out = v.copy(), []
+    if not len(v):
+        return (None,) * levels
     for _ in range(levels):
         most = np.abs(r).max()
         s = most / 120 if most >= 1e-8 else 1.0
@@ -706,6 +716,8 @@ def evolve(fitness: Callable[[np.ndarray], float], models: int, population: int
 def evolved_merge(vectors: DataFrame) -> DataFrame:
     """(model, weight): weights of the label means whose merge is nearest to the mean of all vectors. Two actions; the search runs on a row per label."""
     codes, centres = label_centroids(vectors)
+    if not len(codes):
+        return vectors.sparkSession.createDataFrame([], "model int, weight double")
     n = vectors.groupBy("label").count().collect()
     share = {r["label"]: r["count"] for r in n}
     goal = np.average(centres, axis=0, weights=[share[int(c)] for c in codes])
@@ -797,7 +809,7 @@ REG.add("replay_sample", replay, "WITH b AS (SELECT event_id, value FROM events
 
 def surrogate(candidates: DataFrame, observations: DataFrame, explore: float = 0.1) -> DataFrame:
     """(id, mean, std, ucb) of candidates (id, x in 0 to 1): kernel-weighted mean and deviation of a bounded list of observations (x, y). A stated candidate set against all observations, in the row."""
-    seen = [(float(r["x"]), float(r["y"])) for r in observations.limit(1001).collect()]
+    seen = [(float(r["x"]), float(r["y"])) for r in observations.where("x IS NOT NULL AND y IS NOT NULL").limit(1001).collect()]
     if len(seen) > 1000:
         raise ValueError("more than 1000 observations")
     if not seen:
@@ -830,7 +842,7 @@ def tune(objective: Callable[[float], float], trials: int = 20, start: int = 5,
 
 def tuned(vectors: DataFrame) -> DataFrame:
     """(trial, x, objective, best): the share of coefficients that trades size against the mean cosine; a batch of vectors, one action, is evaluated by each trial."""
-    rows = vectors.orderBy("vec_id").limit(32).collect()
+    rows = vectors.where("size(embedding) > 0 AND size(embedding) % 8 = 0").orderBy("vec_id").limit(32).collect()
     batch = [np.asarray(r["embedding"], float) for r in rows]
     seen = tune(lambda s: float(np.mean([compressive(v, 8, max(s, 0.02))[3] for v in batch]) - 0.5 * s) if batch else 0.0)
     best = max(range(len(seen)), key=lambda i: seen[i][1])

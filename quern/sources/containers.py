@@ -96,7 +96,7 @@ def as_shards(vectors: DataFrame) -> DataFrame:
     def shard(vs: pd.Series) -> pd.Series:
         out = []
         for v in vs:
-            x = np.asarray(v, dtype=np.float32)
+            x = np.asarray([] if v is None else v, dtype=np.float32)
             h = len(x) // 2
             out.append(pack_shard([("whole", "F32", [h, 2] if len(x) % 2 == 0 else [len(x)], x.astype("<f4").tobytes()), ("first", "BF16", [h], (x[:h].view(np.uint32) >> 16).astype("<u2").tobytes()), ("second", "F16", [len(x) - h], x[h:].astype("<f2").tobytes())], {"format": "pt"}))
         return pd.Series(out, dtype=object)
@@ -223,7 +223,7 @@ def write_fragments(fragments: DataFrame, path: str) -> None:
 
 def read_fragments(spark: SparkSession, path: str, upto: int | None = None) -> DataFrame:
     """SRC9: fragments whose checksum holds; with ``upto`` only those of lower index, by pruned directories."""
-    f = spark.read.parquet(path)
+    f = spark.read.schema("tensor_id long, payload binary, checksum long, frag_idx int").parquet(path)
     f = f if upto is None else f.where(F.col("frag_idx") < upto)
     return f.where(F.crc32(F.col("payload")) == F.col("checksum"))
 
@@ -259,8 +259,9 @@ def append_new(rows: DataFrame, path: str, key: str) -> int:
     except Exception as e:  # noqa: BLE001
         if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
             raise
+        done = None
     n = rows.count()
-    if n:
+    if n or done is None:
         rows.write.mode("append").parquet(path)
     return n
 
@@ -281,7 +282,7 @@ def stored(rows: DataFrame, name: str, *by: str) -> DataFrame:
     """SRC13-16, SRC18: rows written as a table below the scratch folder, laid out by the given columns, and read again."""
     path = f"{scratch_path(rows.sparkSession)}/{name}"
     rows.write.partitionBy(*by).parquet(path)
-    return rows.sparkSession.read.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def content_store(docs: DataFrame) -> DataFrame:
