@@ -455,5 +455,41 @@ def frequent_substrings(texts: DataFrame, least: int = 4, most: int = 32, top: i
     return texts.sparkSession.createDataFrame(kept, "s string, n long, score long")
 
 
+def dictionary_matches(texts: DataFrame, dictionary: bytes, least: int = 4, most: int = 64) -> DataFrame:
+    """SIM12: (item_id, matches, covered, longest) of a greedy reading of each text against a dictionary: at each place the longest match, up to ``most`` bytes, among the dictionary's places with the same four bytes (the earlier of equals). The dictionary is bounded and travels with the function."""
+    share_code(texts.sparkSession)
+    places: dict[bytes, list[int]] = {}
+    for i in range(len(dictionary) - least + 1):
+        places.setdefault(dictionary[i : i + least], []).append(i)
+
+    def read(v: bytes) -> tuple[int, int, int]:
+        at, n, covered, longest = 0, 0, 0, 0
+        while at + least <= len(v):
+            best = 0
+            for p in places.get(v[at : at + least], ()):
+                k = least
+                while k < most and at + k < len(v) and p + k < len(dictionary) and v[at + k] == dictionary[p + k]:
+                    k += 1
+                best = max(best, k)
+            if best:
+                n, covered, longest, at = n + 1, covered + best, max(longest, best), at + best
+            else:
+                at += 1
+        return n, covered, longest
+
+    @F.pandas_udf("matches long, covered long, longest long")
+    def each(values: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([read(bytes(v)) for v in values], columns=["matches", "covered", "longest"])
+
+    return texts.select("item_id", each(raw()).alias("m")).select("item_id", "m.*")
+
+
+def matches_in_first(bench: DataFrame) -> DataFrame:
+    """SIM12 with the text of the lowest id as the dictionary."""
+    first = bench.orderBy("item_id").limit(1).select(raw().alias("b")).collect()
+    return dictionary_matches(bench, bytes(first[0]["b"]) if first else b"")
+
+
+REG.add("dictionary_matches", matches_in_first, None, "benchmark")
 REG.add("dictionary_patterns", frequent_substrings, None, "benchmark")
 QUERIES, ORACLE_SQL = REG.queries, REG.sql

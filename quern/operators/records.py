@@ -46,7 +46,7 @@ def usage_stats(events: DataFrame) -> DataFrame:
 
 
 def floor_percentiles(lines: DataFrame) -> DataFrame:
-    """Per flag: mean, population deviation and the values at floor(n * p) of the sorted list.
+    """AGG10, AGG15: per flag: mean, population deviation, bounds and the values at floor(n * p) of the sorted list.
 
     Values are counted first, so a flag brings one row per distinct value to the ranking.
     """
@@ -56,7 +56,7 @@ def floor_percentiles(lines: DataFrame) -> DataFrame:
     at = [F.min(F.when(F.col("upto") > F.floor(F.col("n") * p / 100), F.col("v"))).alias(f"p{p}") for p in (25, 50, 75, 90, 95)]
     mean = F.sum(F.col("v") * F.col("c")) / F.sum("c")
     var = F.sum(F.col("v") * F.col("v") * F.col("c")) / F.sum("c") - mean * mean
-    return g.groupBy("l_returnflag").agg(F.sum("c").alias("n"), F.round(mean, 6).alias("mean"), F.round(F.sqrt(var), 6).alias("std"), *at)
+    return g.groupBy("l_returnflag").agg(F.sum("c").alias("n"), F.round(mean, 6).alias("mean"), F.round(F.sqrt(var), 6).alias("std"), F.min("v").alias("least"), F.max("v").alias("most"), *at)
 
 
 def hotspots(lines: DataFrame) -> DataFrame:
@@ -111,9 +111,14 @@ def substring_scores(bench: DataFrame, lengths: tuple[int, ...] = (4, 8, 16), to
 
 def ewma(events: DataFrame, alpha: float = 0.1, start: float = 1.0) -> DataFrame:
     """Per user: the exponentially weighted mean of values in order of time. In closed form, so a user's events need not be gathered in one row."""
-    w = Window.partitionBy("user_id")
-    age = F.row_number().over(w.orderBy(F.desc("ts"), F.desc("event_id"))) - 1
-    e = events.where(F.col("value").isNotNull()).withColumn("age", age)
+    e = events.where(F.col("value").isNotNull()).select("user_id", "value", "ts", "event_id", F.to_date("ts").alias("day"))
+    # Ranks within a day, and how many rows later days hold: no task sees all rows of a user.
+    days = e.groupBy("user_id", "day").agg(F.count(F.lit(1)).alias("n"))
+    later = F.coalesce(F.sum("n").over(Window.partitionBy("user_id").orderBy(F.desc("day")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    days = days.select(F.col("user_id").alias("u"), F.col("day").alias("d"), later.alias("later"))
+    within = F.row_number().over(Window.partitionBy("user_id", "day").orderBy(F.desc("ts"), F.desc("event_id"))) - 1
+    e = e.withColumn("within", within).join(days, F.col("user_id").eqNullSafe(F.col("u")) & F.col("day").eqNullSafe(F.col("d")))
+    e = e.withColumn("age", F.col("within") + F.col("later"))
     return e.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.lit(alpha) * F.pow(F.lit(1 - alpha), F.col("age")) * F.col("value")) + F.lit(start) * F.pow(F.lit(1 - alpha), F.count(F.lit(1))), 5).alias("ewma"))
 
 
@@ -131,8 +136,16 @@ def asof_events(orders: DataFrame, events: DataFrame) -> DataFrame:
     """(o_orderkey, event_id): the customer's latest event at or before the order, null if there is none."""
     o = orders.select(F.col("o_custkey").alias("k"), F.col("o_orderdate").alias("t"), F.lit(1).alias("kind"), "o_orderkey", F.lit(None).cast("long").alias("event_id"))
     e = events.select(F.col("user_id").alias("k"), F.col("ts").alias("t"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("o_orderkey"), "event_id")
-    w = Window.partitionBy("k").orderBy("t", "kind", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return o.union(e).withColumn("last", F.last("event_id", ignorenulls=True).over(w)).where("kind = 1").select("o_orderkey", F.col("last").alias("event_id"))
+    rows = o.union(e).withColumn("day", F.to_date("t"))
+    # A key's rows are dealt by day, so one that holds many rows is split; what a day leaves to the next ones is a row.
+    ends = rows.where("kind = 0").groupBy("k", "day").agg(F.max(F.struct("t", "event_id")).alias("end"))
+    days = rows.select("k", "day").distinct().join(ends, ["k", "day"], "left")
+    earlier = F.last("end.event_id", ignorenulls=True).over(Window.partitionBy("k").orderBy("day").rowsBetween(Window.unboundedPreceding, -1))
+    days = days.select("k", "day", earlier.alias("before"))
+    w = Window.partitionBy("k", "day").orderBy("t", "kind", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    today = rows.withColumn("last", F.last("event_id", ignorenulls=True).over(w)).where("kind = 1")
+    same = today["k"].eqNullSafe(days["k"]) & today["day"].eqNullSafe(days["day"])
+    return today.join(days, same, "left").select("o_orderkey", F.coalesce("last", "before").alias("event_id"))
 
 
 def evictions(events: DataFrame, keep: float = 0.6, as_of: str = AS_OF) -> DataFrame:
@@ -208,7 +221,7 @@ QUERIES = {
 ORACLE_SQL = {
     "size_stats": "SELECT l_returnflag, count(*) AS operations, round(sum(l_extendedprice), 2) AS size_before, round(sum(l_extendedprice * (1 - l_discount)), 2) AS size_after, round(sum(l_extendedprice) / sum(l_extendedprice * (1 - l_discount)), 6) AS ratio, round((1 - sum(l_extendedprice * (1 - l_discount)) / sum(l_extendedprice)) * 100, 6) AS savings_percent FROM lineitem GROUP BY 1",
     "usage_stats": "SELECT user_id, count(*) AS uses, round(avg(value), 6) AS mean_value, count(*) FILTER (value > 80) AS high, count(*) FILTER (value < 20) AS low FROM events GROUP BY 1",
-    "floor_percentiles": "SELECT l_returnflag, count(*) AS n, round(avg(l_quantity), 6) AS mean, round(stddev_pop(l_quantity), 6) AS std, " + ", ".join(f"list_sort(list(l_quantity))[CAST(floor(count(*) * {p} / 100) AS BIGINT) + 1] AS p{p}" for p in (25, 50, 75, 90, 95)) + " FROM lineitem GROUP BY 1",
+    "floor_percentiles": "SELECT l_returnflag, count(*) AS n, round(avg(l_quantity), 6) AS mean, round(stddev_pop(l_quantity), 6) AS std, min(l_quantity) AS least, max(l_quantity) AS most, " + ", ".join(f"list_sort(list(l_quantity))[CAST(floor(count(*) * {p} / 100) AS BIGINT) + 1] AS p{p}" for p in (25, 50, 75, 90, 95)) + " FROM lineitem GROUP BY 1",
     "profiler_hotspots": "WITH g AS (SELECT l_returnflag, l_linestatus, count(*) AS calls, sum(l_quantity) AS total, min(l_quantity) AS least, max(l_quantity) AS most, avg(l_quantity) AS mean, stddev_pop(l_quantity) AS std FROM lineitem GROUP BY 1, 2), p AS (SELECT *, round(total / sum(total) OVER () * 100, 6) AS percent FROM g) SELECT l_returnflag, l_linestatus, calls, round(total, 2) AS total, least, most, round(mean, 6) AS mean, round(std, 6) AS std, percent, CASE WHEN percent > 50 THEN 'dominant' WHEN std > mean THEN 'variance' WHEN most > 10 * mean THEN 'long tail' ELSE 'none' END AS bottleneck FROM p",
     "quality_grades": "SELECT CASE WHEN n_chars >= 8000 THEN 'A' WHEN n_chars >= 2000 THEN 'B' WHEN n_chars >= 500 THEN 'C' ELSE 'F' END AS grade, count(*) AS n, round(avg(quality), 6) AS good, min(n_chars) AS least, max(n_chars) AS most FROM documents JOIN labels USING (doc_id) GROUP BY 1",
     "hit_rates": "SELECT event_type, count(*) AS requests, count(*) FILTER (value > 50) AS hits, round(count(*) FILTER (value > 50) / count(*), 6) AS hit_rate FROM events GROUP BY 1",

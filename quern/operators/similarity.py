@@ -209,7 +209,7 @@ _SIGNED = f"""x AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM doc
     CASE WHEN h = '' THEN [0, 0, 0, 0] WHEN f2.doc_id IS NULL THEN [32768, 0, 32768, 32768] ELSE list_transform([a, d, lo, hi], lambda q: CAST(floor((least(greatest(q, -10), 10) + 10) / 20 * 65535) AS INT)) END AS stats, coalesce(bins, list_transform(range(16), lambda k: 0)) AS bins
     FROM x LEFT JOIN sm USING (doc_id) LEFT JOIN f2 USING (doc_id) LEFT JOIN f4 USING (doc_id))"""
 _CLASSES = f"{_SIGNED}, cl AS (SELECT min(doc_id) AS doc_id, count(*) AS copies, any_value(simhash) AS simhash, any_value(minhash) AS minhash, any_value(stats) AS stats, any_value(bins) AS bins FROM sg GROUP BY h)"
-_HAM = " + ".join(f"bit_count(xor(CAST('0x' || substr(a.simhash, {8 * i + 1}, 8) AS BIGINT), CAST('0x' || substr(b.simhash, {8 * i + 1}, 8) AS BIGINT)))" for i in range(8))
+_HAM = " + ".join(f"CAST(bit_count(xor(CAST('0x' || substr(a.simhash, {8 * i + 1}, 8) AS BIGINT), CAST('0x' || substr(b.simhash, {8 * i + 1}, 8) AS BIGINT))) AS INT)" for i in range(8))
 _PAIRS = f"""{_CLASSES}, bd AS (SELECT doc_id, r.b, substr(simhash, $w * r.b + 1, $w) AS k FROM cl, range(64 // $w) r(b)), cd AS (SELECT DISTINCT p.doc_id AS p, q.doc_id AS q FROM bd p JOIN bd q ON p.b = q.b AND p.k = q.k AND p.doc_id <> q.doc_id),
   sc AS (SELECT p, q, round((1 - ({_HAM}) / 256.0::DOUBLE) * 0.4::DOUBLE + list_sum(list_transform(range(1, {HASHES + 1}), lambda i: CASE WHEN a.minhash[i] = b.minhash[i] THEN 1 ELSE 0 END)) / {HASHES}.0::DOUBLE * 0.4::DOUBLE
     + ((1 - abs(a.stats[1] - b.stats[1]) / 65535.0::DOUBLE) * 0.3::DOUBLE + (1 - abs(a.stats[2] - b.stats[2]) / 65535.0::DOUBLE) * 0.2::DOUBLE + CASE WHEN list_sum(a.bins) > 0 AND list_sum(b.bins) > 0 THEN list_cosine_similarity(a.bins::DOUBLE[], b.bins::DOUBLE[]) ELSE 0 END * 0.5) * 0.2::DOUBLE, 9) AS s

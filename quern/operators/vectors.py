@@ -81,9 +81,12 @@ def centroids(vectors: DataFrame, by: str = "label") -> DataFrame:
     return long_form(vectors, by).groupBy(F.col(by).alias("code"), "pos").agg(F.avg("v").alias("c"))
 
 
-def linear_merge(vectors: DataFrame) -> DataFrame:
-    """(pos, v): the label means, merged by normalised weights 1 / (label + 1)."""
-    m = centroids(vectors).withColumn("w", 1.0 / (F.col("code") + 1))
+def linear_merge(vectors: DataFrame, overrides: dict[int, float] | None = None) -> DataFrame:
+    """M1: (pos, v): the label means, merged by normalised weights 1 / (label + 1); ``overrides`` gives single labels another weight."""
+    weight = 1.0 / (F.col("code") + 1)
+    for code, w in (overrides or {}).items():
+        weight = F.when(F.col("code") == code, w).otherwise(weight)
+    m = centroids(vectors).withColumn("w", weight)
     return m.groupBy("pos").agg(F.round(F.sum(F.col("w") * F.col("c")) / F.sum("w"), 6).alias("v"))
 
 
@@ -93,13 +96,13 @@ def deltas(vectors: DataFrame) -> DataFrame:
     return centroids(vectors).join(base, "pos").select("code", "pos", "base", F.round(F.col("c") - F.col("base"), 9).alias("d"))
 
 
-def ties_merge(vectors: DataFrame, trim: float = 0.8) -> DataFrame:
-    """(pos, v): trim each delta below its |d| at floor(n * trim), elect the sign by mass (ties +), mean of those that agree, added to the base."""
+def ties_merge(vectors: DataFrame, trim: float = 0.8, scale: float = 1.0) -> DataFrame:
+    """(pos, v): trim each delta below its |d| at floor(n * trim), elect the sign by mass (ties +), mean of those that agree, times ``scale``, added to the base."""
     d = _trimmed(deltas(vectors), trim)
     sign = F.when(F.sum(F.when(F.col("t") > 0, F.col("t")).otherwise(0.0)) >= F.sum(F.when(F.col("t") < 0, -F.col("t")).otherwise(0.0)), 1).otherwise(-1)
     s = d.join(d.groupBy("pos").agg(sign.alias("sign")), "pos")
     agree = F.when(F.col("t") * F.col("sign") > 0, F.col("t"))
-    return s.groupBy("pos").agg(F.round(F.max("base") + F.coalesce(F.avg(agree), F.lit(0.0)), 6).alias("v"))
+    return s.groupBy("pos").agg(F.round(F.max("base") + scale * F.coalesce(F.avg(agree), F.lit(0.0)), 6).alias("v"))
 
 
 def _trimmed(d: DataFrame, trim: float) -> DataFrame:
@@ -127,7 +130,9 @@ QUERIES = {
     "vector_quality": _over(int4_quality),
     "cosine_topk": _over(knn),
     "linear_merge": _over(linear_merge),
+    "linear_merge_override": _over(lambda v: linear_merge(v, {0: 0.1, 3: 2.0})),
     "ties_merge": _over(ties_merge),
+    "ties_merge_scaled": _over(lambda v: ties_merge(v, 0.8, 0.5)),
     "dare_merge": _over(dare_merge),
 }
 
@@ -142,8 +147,12 @@ ORACLE_SQL = {
     "vector_quality": f"WITH {_L}, {_B} SELECT vec_id, round(sum((v - code * scale) ** 2) / count(*), 9) AS mse, round(max(abs(v - code * scale)), 6) AS max_error, round(sum(v * code * scale) / sqrt(sum(v * v) * sum((code * scale) ** 2)), 6) AS cosine, round(10 * log10(sum(v * v) / sum((v - code * scale) ** 2)), 4) AS snr_db FROM q GROUP BY vec_id",
     "cosine_topk": f"WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT q.vec_id AS query_id, x.vec_id, list_cosine_similarity(q.v, x.v) AS similarity FROM v q JOIN v x ON q.vec_id % 20 = 0 AND q.vec_id <> x.vec_id) SELECT query_id, CAST(row_number() OVER w AS INT) AS rank, vec_id, round(similarity, 6) AS similarity FROM s WINDOW w AS (PARTITION BY query_id ORDER BY similarity DESC, vec_id) QUALIFY row_number() OVER w <= {KNN}",
     "linear_merge": f"WITH {_C} SELECT CAST(pos AS INT) AS pos, round(sum(c / (code + 1)) / sum(1.0::DOUBLE / (code + 1)), 6) AS v FROM c GROUP BY 1",
+    "linear_merge_override": f"WITH {_C} SELECT CAST(pos AS INT) AS pos, round(sum(c * (CASE code WHEN 0 THEN 0.1 WHEN 3 THEN 2 ELSE 1.0::DOUBLE / (code + 1) END)) / sum((CASE code WHEN 0 THEN 0.1 WHEN 3 THEN 2 ELSE 1.0::DOUBLE / (code + 1) END)), 6) AS v FROM c GROUP BY 1",
     "ties_merge": f"""WITH {_D}, k AS (SELECT code, abs(d) AS cut FROM d QUALIFY row_number() OVER (PARTITION BY code ORDER BY abs(d), pos) - 1 = floor(count(*) OVER (PARTITION BY code) * 0.8)),
       t AS (SELECT d.*, CASE WHEN abs(d) >= cut THEN d ELSE 0 END AS t FROM d JOIN k USING (code)), s AS (SELECT pos, CASE WHEN sum(greatest(t, 0)) >= sum(greatest(-t, 0)) THEN 1 ELSE -1 END AS sign FROM t GROUP BY 1)
       SELECT CAST(pos AS INT) AS pos, round(max(base) + coalesce(avg(t) FILTER (t * sign > 0), 0), 6) AS v FROM t JOIN s USING (pos) GROUP BY 1""",
+    "ties_merge_scaled": f"""WITH {_D}, k AS (SELECT code, abs(d) AS cut FROM d QUALIFY row_number() OVER (PARTITION BY code ORDER BY abs(d), pos) - 1 = floor(count(*) OVER (PARTITION BY code) * 0.8)),
+      t AS (SELECT d.*, CASE WHEN abs(d) >= cut THEN d ELSE 0 END AS t FROM d JOIN k USING (code)), s AS (SELECT pos, CASE WHEN sum(greatest(t, 0)) >= sum(greatest(-t, 0)) THEN 1 ELSE -1 END AS sign FROM t GROUP BY 1)
+      SELECT CAST(pos AS INT) AS pos, round(max(base) + 0.5 * coalesce(avg(t) FILTER (t * sign > 0), 0), 6) AS v FROM t JOIN s USING (pos) GROUP BY 1""",
     "dare_merge": f"WITH {_D} SELECT CAST(pos AS INT) AS pos, round(max(base) + avg(CASE WHEN CAST('0x' || substr(md5('7:' || code || ':' || pos), 1, 8) AS BIGINT) / 4294967296.0 >= 0.5 THEN d / 0.5 ELSE 0 END), 6) AS v FROM d GROUP BY 1",
 }

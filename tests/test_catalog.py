@@ -5,15 +5,18 @@ from __future__ import annotations
 import hashlib
 from pathlib import Path
 
+import numpy as np
 import pytest
 from compare import difference, duck
 from pyspark.sql import functions as F
 
-from quern.operators import blobs, records, similarity, vectors
+from quern.operators import blobs, records, similarity, tensors, vectors
 from quern.plans.catalog import ORACLE_SQL, QUERIES
+from quern.sources import containers
+from quern.streaming import flows
 
 SF = "/root/testdata/sf0.001"
-WITHOUT = {"codec_ratios", "dictionary_patterns", "rank_quality", "mixed_quality", "codebook_train", "evolved_merge", "auto_tune"}
+WITHOUT = {"codec_ratios", "dictionary_matches", "dictionary_patterns", "rank_quality", "mixed_quality", "codebook_train", "evolved_merge", "auto_tune"}
 
 
 @pytest.fixture(scope="module")
@@ -113,3 +116,73 @@ def test_tables_without_rows_and_of_nulls(spark, bare, kind):
             except Exception as e:  # noqa: BLE001
                 failed[name] = str(e)[:100]
     assert not failed, failed
+
+
+def test_transforms_and_their_inverses():
+    """Directly and by a Fourier transform, against the sum itself; two dimensions; constant, zero, spike and chequered inputs."""
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 7, 64, 256, 257, 600):
+        x = rng.normal(size=n)
+        want = [sum(x * np.cos(np.pi * (2 * np.arange(n) + 1) * k / (2 * n))) * np.sqrt((1 if k == 0 else 2) / n) for k in range(n)]
+        assert np.allclose(tensors.dct_1d(x), want) and np.allclose(tensors.idct_1d(tensors.dct_1d(x)), x)
+    chequered = (np.add.outer(np.arange(4), np.arange(4)) % 2 * 2 - 1).astype(float)
+    for m in (np.arange(16.0).reshape(4, 4), np.eye(4), np.zeros((4, 4)), np.full((4, 4), 3.0), chequered, np.eye(1, 64)[0].reshape(2, 32), 1e6 * rng.normal(size=(8, 8)), 1e-6 * rng.normal(size=(32, 2))):
+        c = tensors.dct_2d(m.ravel(), m.shape[1])
+        assert np.allclose(tensors.idct_2d(c, m.shape[1]), m.ravel()) and np.isclose((c**2).sum(), (m**2).sum())
+    assert tensors.dct_2d(np.full(16, 3.0), 4)[0] == pytest.approx(12) and tensors.flattened([3, 4, 5]) == (3, 20)
+
+
+def test_fragments_and_quantised_forms():
+    v = np.random.default_rng(2).normal(size=64)
+    parts = tensors.compress(v, 8, 0.7)
+    whole, some = tensors.decompress(parts, 64, 8), tensors.decompress(parts[:2], 64, 8)
+    assert tensors._cos(v, whole) > tensors._cos(v, some) > tensors._cos(v, tensors.decompress(parts[:1], 64, 8)) and tensors.decompress(parts[1:], 64, 8) is None
+    assert np.allclose(tensors.decompress(tensors.compress(v, 8, 1.0), 64, 8), v, atol=0.02)
+    for n in (1, 31, 32, 33, 64):
+        packed = tensors.pack_int4(v[:n])
+        assert len(packed) == 2 * -(-n // 32) + -(-n // 2) and np.abs(tensors.unpack_int4(packed, n) - v[:n]).max() <= np.abs(v).max() / 7
+    q, s = tensors.refine(v, np.zeros(64), np.zeros(64), 0.01)
+    assert ((q * s - v) ** 2).mean() < (v**2).mean() / 100
+    u, s, w = tensors.randomised_svd(v.reshape(8, 8), 8)
+    assert np.allclose((u * s) @ w, v.reshape(8, 8)) and np.allclose(s, np.linalg.svd(v.reshape(8, 8))[1])
+    assert np.allclose(tensors.slerp(v, v, 0.3), v) and np.allclose(tensors.slerp(v, 0 * v, 0.5), v / 2)
+    best, history = tensors.evolve(lambda x: -((x - np.array([0.7, 0.2, 0.1])) ** 2).sum(), 3, generations=40, patience=40)
+    assert best.sum() == pytest.approx(1) and history[-1] > -0.01 and history == sorted(history)
+
+
+def test_containers_refuse_what_is_damaged(spark):
+    data = b"some bytes " * 5000
+    for version in (1, 2):
+        c = containers.pack_blocks(data, version=version)
+        assert b"".join(b["payload"] for b in containers.read_blocks(c)) == data
+        assert containers.read_blocks(c, [2])[0]["payload"] == data[32768:49152]
+    broken = bytearray(c)
+    broken[-1] ^= 1
+    assert [b["intact"] for b in containers.read_blocks(bytes(broken))] == [True, True, True, False]
+    with pytest.raises(ValueError):
+        containers.read_blocks(b"x" * 100)
+    files = spark.createDataFrame([("a", b"\x05"), ("b", b"\xff\xff\0\0\0\0\0\0{}"), ("c", containers.pack_shard([("t", "F32", [2], b"\0" * 8)]))], "path string, content binary")
+    assert [(r["path"], r["name"], r["shape"], r["size"]) for r in containers.tensor_catalog(files).collect()] == [("c", "t", [2], 8)]
+
+
+def test_shards_in_folders(spark, tmp_path):
+    (tmp_path / "snapshots" / "x").mkdir(parents=True)
+    for name in ("model-2.safetensors", "snapshots/x/model-1.safetensors", "other.bin"):
+        (tmp_path / name).write_bytes(containers.pack_shard([("w", "F16", [2], np.array([1.5, -2], "<f2").tobytes())]))
+    assert containers.discover(spark, str(tmp_path)).count() == 2
+    files = containers.shards(spark, str(tmp_path))
+    t = containers.tensor_bytes(files, containers.tensor_catalog(files)).select(containers.widened(F.col("data"), F.col("dtype")).alias("x"))
+    assert [r["x"] for r in t.collect()] == [[1.5, -2.0]] * 2
+
+
+def test_dictionary_matches_are_the_longest(spark):
+    d = b"the quick brown fox; the quiet town"
+    texts = ["the quiet brown fox", "zzz", "", None, "quick"]
+    got = {r["item_id"]: r for r in blobs.dictionary_matches(spark.createDataFrame(list(enumerate(texts)), "item_id int, text string"), d).collect()}
+    assert (got[0]["matches"], got[0]["covered"], got[0]["longest"]) == (2, 19, 10) and got[4]["longest"] == 5
+    assert all(got[i]["matches"] == 0 for i in (1, 2, 3))
+
+
+def test_states_move_as_they_should():
+    assert flows.moved("Idle", "click") == "Idle" and flows.moved("Running", "click") == "Paused" and flows.moved("Paused", "view") == "Running"
+    assert flows.moved("Paused", "purchase") == "Paused" and flows.moved("Running", "purchase") == "Completed" and flows.moved("Completed", "signup") == "Running" and flows.moved("Idle", "error") == "Cancelled"
