@@ -303,17 +303,17 @@ REG.add("created_on_miss", lambda p, s: created_on_miss(p.select(F.col("p_partke
 
 
 def semantic_lookup(prompts: DataFrame, cached: DataFrame, steps: DataFrame, least: float = 0.85, total: int = 50) -> DataFrame:
-    """SIM10-11: per prompt (id, embedding) the best cached entry (entry, embedding) of at least that cosine, the step at which their runs diverge, and the latest stored step (entry, step) before it.
+    """SIM10-11: per prompt (id of 0 and more, embedding) the best cached entry (entry, embedding) of at least that cosine, the step at which their runs diverge, and the latest stored step (entry, step) before it.
 
     The asked prompts are a stated set; every block of entries keeps one a prompt.
     """
     from quern.operators.catalogs import divergence
-    from quern.operators.vectors import cosine
+    from quern.operators.vectors import best_in_blocks
 
-    blocks = max(4, -(-cached.count() // 4096))
-    q = prompts.select("id", F.col("embedding").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
-    c = cached.select("entry", F.col("embedding").alias("c"), F.pmod(F.xxhash64("entry"), F.lit(blocks)).cast("int").alias("b"))
-    best = q.join(c, "b").select("id", F.struct(F.round(cosine(F.col("q"), F.col("c")), 9).alias("s"), (-F.col("entry")).alias("e")).alias("x")).groupBy("id").agg(F.max("x").alias("x"))
+    # An entry may have the id of a prompt, and rows of the asked id are left out, so prompts are asked by ids that no entry has.
+    asked = prompts.select((-F.col("id") - 1).alias("id"), F.col("embedding").alias("v"))
+    found = best_in_blocks(asked, cached.select(F.col("entry").alias("id"), F.col("embedding").alias("v")), 1)
+    best = found.select((-F.col("query_id") - 1).alias("id"), F.struct(F.round("similarity", 9).alias("s"), (-F.col("vec_id")).alias("e")).alias("x")).groupBy("id").agg(F.max("x").alias("x"))
     hit = best.where(F.col("x.s") >= least).select("id", (-F.col("x.e")).alias("entry"), F.col("x.s").alias("similarity"))
     d = divergence(F.col("similarity"), total, least)
     hit = hit.withColumn("diverges", d["step"])

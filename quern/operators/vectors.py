@@ -6,12 +6,14 @@ Rounding is half away from zero.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.session import table
+from quern.session import share_code, table
 
-BLOCK, KNN, BLOCK_ROWS = 32, 10, 4096
+BLOCK, KNN, BLOCK_ROWS, CHUNK = 32, 10, 4096, 1024
 
 
 def doubles(col: str = "embedding") -> Column:
@@ -59,20 +61,46 @@ def int4_quality(vectors: DataFrame) -> DataFrame:
     return g.select("vec_id", F.round(F.col("e") / F.col("n"), 9).alias("mse"), F.round("m", 6).alias("max_error"), F.round(F.col("xy") / F.sqrt(F.col("xx") * F.col("yy")), 6).alias("cosine"), F.round(10 * F.log10(F.col("xx") / F.col("e")), 4).alias("snr_db"))
 
 
-def knn(vectors: DataFrame, k: int = KNN) -> DataFrame:
-    """(query_id, rank, vec_id, similarity): for every id divisible by 20, the k most similar others.
+def best_in_blocks(asked: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, similarity): of each asked (id, v) the k rows (id, v) of largest cosine in every block of rows.
 
-    A stated query set against all rows: each row is in one block of some
-    BLOCK_ROWS, each query in all; every block keeps k a query before the last
-    ranking, which is by the full values.
+    A stated query set against all rows: blocks of some BLOCK_ROWS rows meet
+    chunks of some CHUNK queries, a matrix product each, so no task grows with
+    the table. Vectors of another length or without length score 0.
     """
-    blocks = max(16, -(-vectors.count() // BLOCK_ROWS))
-    v = vectors.select("vec_id", doubles().alias("v"))
-    q = v.where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    x = v.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
-    s = q.join(x, "block").where("query_id <> vec_id").select("query_id", "block", "vec_id", cosine(F.col("q"), F.col("v")).alias("similarity"))
+    share_code(rows.sparkSession)
+    blocks, chunks = max(1, -(-rows.count() // BLOCK_ROWS)), max(1, -(-asked.count() // CHUNK))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    deal = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    q = asked.select("id", "v", deal(chunks).alias("chunk"), every(blocks).alias("block"))
+    x = rows.select("id", "v", deal(blocks).alias("block"), every(chunks).alias("chunk"))
+
+    def unit(vs: pd.Series, width: int) -> np.ndarray:
+        out = np.zeros((len(vs), width))
+        for i, v in enumerate(vs):
+            if v is not None and len(v) == width and (n := np.linalg.norm(v)):
+                out[i] = np.asarray(v, dtype=float) / n
+        return out
+
+    def scan(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        for width, part in a.groupby(a["v"].map(lambda v: -1 if v is None else len(v))):
+            s = np.round(unit(part["v"], max(width, 0)) @ unit(b["v"], max(width, 0)).T, 12) + 0.0
+            ids = b["id"].to_numpy()
+            for me, row in zip(part["id"].to_numpy(), s, strict=True):
+                ok = np.flatnonzero(ids != me)
+                top = ok[np.lexsort((ids[ok], -row[ok]))[:k]]
+                found.append(pd.DataFrame({"query_id": me, "vec_id": ids[top], "similarity": row[top]}))
+        return pd.concat(found) if found else pd.DataFrame({"query_id": [], "vec_id": [], "similarity": []})
+
+    return q.groupBy("block", "chunk").cogroup(x.groupBy("block", "chunk")).applyInPandas(scan, "query_id long, vec_id long, similarity double")
+
+
+def knn(vectors: DataFrame, k: int = KNN) -> DataFrame:
+    """SIM9, TOP4: (query_id, rank, vec_id, similarity): for every id divisible by 20, the k most similar others, ranked by full values."""
+    v = vectors.select(F.col("vec_id").alias("id"), doubles().alias("v"))
+    part = best_in_blocks(v.where(F.col("id") % 20 == 0), v, k)
     order = [F.desc("similarity"), F.asc("vec_id")]
-    part = s.withColumn("r", F.row_number().over(Window.partitionBy("query_id", "block").orderBy(*order))).where(F.col("r") <= k)
     return part.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", F.round("similarity", 6).alias("similarity"))
 
 
