@@ -24,7 +24,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Iterator
-from functools import lru_cache
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
@@ -40,13 +40,18 @@ TRAIN_ROWS, FACTORS, STEPS, RATE = 6_000, 3, 60, 0.1
 #: Penalties of weights and factors; texts a term needs, and standard deviations its share is off (LEAST_OFF at least), for a penalty near that.
 RIDGE, FACTOR_RIDGE, SEEN, TOLD, LEAST_OFF = 0.1, 40.0, 8, 6.0, 1.0
 COMMON = 300  # texts from which on a term's share tells enough by itself
-PREFIXES = (5, 6, 7)
+PREFIXES, CACHE = (5, 6, 7), 1 << 18
 _WORDS = re.compile(r"\w+").findall
 
 
 def word_terms(word: str) -> tuple[int, ...]:
-    """Hashes of a lower-cased word and of its proper prefixes of the lengths in PREFIXES."""
-    return tuple(crc32(s.encode("utf-8")) >> 1 for s in [word, *(f"{word[:n]}*" for n in PREFIXES if len(word) > n)])
+    """Hashes of a lower-cased word and of its proper prefixes of the lengths in PREFIXES, which end in a star."""
+    b, n = word.encode("utf-8"), len(word)
+    whole = crc32(b) >> 1
+    if n <= PREFIXES[0]:
+        return (whole,)
+    ends = PREFIXES if len(b) == n else [len(word[:k].encode("utf-8")) for k in PREFIXES]
+    return (whole, *[crc32(b"*", crc32(b[:end])) >> 1 for k, end in zip(PREFIXES, ends, strict=True) if n > k])
 
 
 def text_terms(text: str | None) -> np.ndarray:
@@ -117,34 +122,54 @@ class FactorizationMachine:
             self.w0 -= rate * slope0 / (0.25 * m)
         return self
 
-    def scorer(self):
-        """A function from a text to its score."""
-        table = np.column_stack([self.w, *self.v])  # a term's weight and factors lie side by side
-
-        @lru_cache(maxsize=1 << 17)
-        def known(word: str) -> tuple[int, ...]:
-            at = np.array(word_terms(word), dtype=np.int32)
-            i = np.searchsorted(self.terms, at)
-            return tuple(int(x) for x, t in zip(i, at, strict=True) if x < len(self.terms) and self.terms[x] == t)
-
-        def score(text: str | None) -> float:
-            ids = set().union(*map(known, set(_WORDS((text or "").lower()))))
-            z = self.w0
+    def scorer(self) -> Scorer:
+        return Scorer(self)
+
+
+class Scorer:
+    """Scores of texts. The terms of words are looked up together for a batch, and kept until CACHE words are and all are let go."""
+
+    def __init__(self, model: FactorizationMachine):
+        self.w0, self.terms, self.known = model.w0, model.terms, {}
+        self.table = np.column_stack([model.w, *model.v])  # a term's weight and factors lie side by side
+
+    def _learn(self, words: list[str]) -> None:
+        found = [word_terms(w) for w in words]
+        sizes = list(map(len, found))
+        at = np.fromiter(chain.from_iterable(found), dtype=np.int32, count=sum(sizes))
+        i = np.searchsorted(self.terms, at)
+        met = np.flatnonzero(self.terms[np.minimum(i, len(self.terms) - 1)] == at) if len(self.terms) else np.zeros(0, dtype=np.int64)
+        ends = np.searchsorted(met, np.cumsum(sizes)).tolist()
+        ids, start = i[met].tolist(), 0
+        for w, end in zip(words, ends, strict=True):
+            self.known[w] = tuple(ids[start:end])
+            start = end
+
+    def many(self, texts) -> list[float]:
+        bags = [set(_WORDS((t or "").lower())) for t in texts]
+        if len(self.known) > CACHE:
+            self.known.clear()
+        self._learn(list(set().union(*bags).difference(self.known)))
+        out = []
+        for bag in bags:
+            ids, z = set().union(*map(self.known.__getitem__, bag)), self.w0
             if ids:
                 i = np.fromiter(ids, dtype=np.int64, count=len(ids))
                 i.sort()
-                x = table[i].astype(np.float64)
+                x = self.table[i].astype(np.float64)
                 total = x.sum(0)
                 z += total[0] + 0.5 * (total[1:] @ total[1:] - np.einsum("ij,ij->", x[:, 1:], x[:, 1:]))
-            return float(1 / (1 + np.exp(-min(max(z, -30), 30))))
+            out.append(float(1 / (1 + np.exp(-min(max(z, -30), 30)))))
+        return out
 
-        return score
+    def __call__(self, text: str | None) -> float:
+        return self.many([text])[0]
 
 
 _KEPT: dict = {}
 
 
-def _kept_scorer(model: FactorizationMachine):
+def _kept_scorer(model: FactorizationMachine) -> Scorer:
     """This process's scorer of that model; a worker keeps one, the latest."""
     if model.key not in _KEPT:
         _KEPT.clear()
@@ -171,7 +196,7 @@ def toxicity_of(spark, model: FactorizationMachine, text: Column) -> Column:
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         one = _kept_scorer(shared.value)
         for texts in batches:
-            yield pd.Series([one(t) for t in texts], dtype=float)
+            yield pd.Series(one.many(texts), dtype=float)
 
     return score(F.coalesce(text, F.lit("")))
 
