@@ -36,6 +36,7 @@ from .common import boxed, cut
 from .components import components
 
 BITS, LIGHT, SHINGLE, BLOCK = 2, 64, 3, 1 << 15
+SIMILARITY, ROUNDS = 0.8, 3
 #: Numbers of segments, each with the number of distinct fingerprints up to which a bucket has some four of them.
 SEGMENTS = ((8, 1 << 26), (16, 1 << 30), (32, 1 << 62))
 
@@ -67,6 +68,25 @@ def fingerprints(text: Column, shingle: int = SHINGLE) -> Column:
     return fp(F.coalesce(text, F.lit("")))
 
 
+def shingle_sets(text: Column, shingle: int) -> Column:
+    """The distinct word shingles of a text column as ascending 32-bit hashes (fewer words: the whole sequence)."""
+    from .suffix_dedup import _gram_hashes, _word_hashes
+
+    @F.pandas_udf("array<int>")
+    def sets(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            out = []
+            for t in texts:
+                h = _word_hashes(t.translate(_LOWER))
+                out.append(np.unique((_gram_hashes(h, min(shingle, len(h))) >> np.uint64(32)).astype(np.uint32).view(np.int32)) if len(h) else np.zeros(0, np.int32))
+            yield pd.Series(out, dtype=object)
+
+    return sets(F.coalesce(text, F.lit("")))
+
+
+_LOWER = {c: c + 32 for c in range(65, 91)}
+
+
 def _rotl(c: Column, bits: int) -> Column:
     return c if bits == 0 else F.shiftleft(c, bits).bitwiseOR(F.shiftrightunsigned(c, 64 - bits))
 
@@ -104,7 +124,11 @@ def assign(docs: DataFrame) -> DataFrame:
     ``text_hash`` tells rows of one doc_id apart; texts leave the scan only to
     be fingerprinted.
     """
-    narrow = cut(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), fingerprints(F.col("text")).alias("fp")))
+    return assigned(cut(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), fingerprints(F.col("text")).alias("fp"))))
+
+
+def assigned(narrow: DataFrame) -> DataFrame:
+    """``assign`` for a table of (doc_id, text_hash, fp). Several actions."""
     fps = cut(narrow.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
     n = fps.count()
     segments = next(m for m, most in SEGMENTS if n <= most)
@@ -115,14 +139,70 @@ def assign(docs: DataFrame) -> DataFrame:
     return narrow.join(classes, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
 
 
-def near_dedup(docs: DataFrame) -> DataFrame:
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The (u, v) whose sets have at least that Jaccard similarity."""
+    a, b = (sets.select(F.col("root").alias(c), F.col("s").alias(f"s{c}")) for c in "uv")
+    both = F.size(F.array_intersect("su", "sv"))
+    full = pairs.join(a, "u").join(b, "v").select("u", "v", both.alias("both"), (F.size("su") + F.size("sv")).alias("sum"))
+    return full.where(F.col("both") >= similarity * (F.col("sum") - F.col("both")) - 1e-9).select("u", "v")
+
+
+def set_links(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(u, v) links between ``sets`` (root, s: distinct ints ascending) with the same components as all pairs of at least that Jaccard similarity. Several actions.
+
+    Similar sets share one of the n - ceil(n * similarity) + 1 least hashes of
+    each and differ little in length. Where a hash has few holders they are
+    paired. Where it has many, the holders are first compared with one of them,
+    for some rounds; as near copies are then of one component, only holders in
+    different components are left to pair.
+    """
+    n = F.size("s")
+    keep = (n - F.ceil(n * similarity - 1e-9) + 1).cast("int")
+    keyed = cut(sets.where(n > 0).select("root", n.alias("n"), F.explode(F.slice("s", F.lit(1), keep)).alias("key")))
+    counts = cut(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1"))
+    held = cut(keyed.join(counts, "key"))
+    near = lambda x, y: F.least(x, y) >= F.greatest(x, y) * similarity - 1e-9
+
+    def paired(rows: DataFrame, *apart: str) -> DataFrame:
+        x, y = (rows.select("key", *[F.col(c).alias(f"{c}{k}") for c in ("root", "n", *apart)]) for k in "uv")
+        found = x.join(y, "key").where((F.col("rootu") < F.col("rootv")) & near(F.col("nu"), F.col("nv")))
+        for c in apart:
+            found = found.where(F.col(f"{c}u") != F.col(f"{c}v"))
+        return found.select(F.col("rootu").alias("u"), F.col("rootv").alias("v")).distinct()
+
+    links = cut(_similar(paired(held.where(F.col("holders") <= LIGHT)), sets, similarity))
+    crowded = cut(held.where(F.col("holders") > LIGHT).drop("holders"))
+    for round_ in range(ROUNDS if not crowded.isEmpty() else 0):
+        pivots = crowded.groupBy("key").agg(F.min(F.struct(F.xxhash64("root", F.lit(round_)).alias("h"), F.col("root").alias("u"), F.col("n").alias("nu"))).alias("p")).select("key", "p.u", "p.nu")
+        ask = crowded.join(pivots, "key").where((F.col("u") != F.col("root")) & near(F.col("n"), F.col("nu"))).select("u", F.col("root").alias("v")).distinct()
+        links = cut(links.union(_similar(ask, sets, similarity)).distinct())
+    roots = components(links)
+    rest = crowded.join(roots.select(F.col("node").alias("root"), F.col("root").alias("comp")), "root", "left").withColumn("comp", F.coalesce("comp", "root"))
+    mixed = rest.groupBy("key").agg((F.min("comp") != F.max("comp")).alias("mixed")).where("mixed").select("key")
+    rest = cut(rest.join(mixed, "key"))
+    return links.union(_similar(paired(rest, "comp"), sets, similarity))
+
+
+def near_dedup(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with one row of each class: the least doc_id (rows without one last), then the least text hash.
 
-    The rows to keep are chosen on narrow columns. Whole rows are exchanged once,
-    by the key of the join, which also brings repeated rows together.
+    Two texts are of one class if their fingerprints are (op4's rule) or if
+    their sets of ``shingle``-word shingles have at least that Jaccard
+    similarity, directly or through others. One text of each SimHash class is
+    compared by its set. The rows to keep are chosen on narrow columns. Whole
+    rows are exchanged once, by the key of the join, which also brings repeated
+    rows together.
     """
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "text_hash"))
-    keep = assign(docs).groupBy("root").agg(first.alias("k")).select("k.none", "k.id", "k.text_hash")
+    made = cut(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), fingerprints(F.col("text")).alias("fp"), shingle_sets(F.col("text"), shingle).alias("s")))
+    classes = cut(assigned(made.drop("s")))
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "text_hash")
+    firsts = classes.groupBy("root").agg(F.min(key).alias("k"))
+    at = cut(firsts.select("root", "k.*"))
+    rows = made.select(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "text_hash", "s")
+    sets = cut(rows.join(at, ["none", "id", "text_hash"]).dropDuplicates(["root"]).select("root", "s"))
+    roots = components(set_links(sets, similarity))
+    joined = at.join(roots.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").withColumn("top", F.coalesce("top", "root"))
+    keep = joined.groupBy("top").agg(F.min(F.struct("none", "id", "text_hash")).alias("k")).select("k.*")
     key = ["none", "id", "text_hash"]
     rows = boxed(docs, none=F.col("doc_id").isNull(), id=F.coalesce("doc_id", F.lit(0)), text_hash=F.xxhash64("text"))
     return rows.join(keep, key, "left_semi").groupBy(*key).agg(F.first("row").alias("row")).select("row.*")
