@@ -27,7 +27,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash class stays: the least doc_id."""
+    """One document of each class of near copies stays, the least doc_id: by SimHash, or by a similarity of 0.8 over five words."""
     share_code(spark)
     return near_dedup(docs)
 
