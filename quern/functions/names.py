@@ -83,6 +83,8 @@ ZONES = (
 )
 #: Sensitivity to least quality and importance multiplier.
 SENSITIVITIES = {"VeryLow": (0.5, 0.3), "Low": (0.7, 0.5), "Medium": (0.85, 0.7), "High": (0.95, 0.9), "Full": (1.0, 1.0)}
+#: Sensitivity to the factor of retention.
+RETENTION_FACTORS = {"VeryLow": 0.5, "Low": 0.7, "Medium": 1.0, "High": 1.2, "Full": 1.5}
 #: Class to (sensitivity, adapts to steps, quality of the first step, of the last).
 LAYER_PROFILES = {
     "AttentionQuery": ("Medium", True, 0.5, 0.9),

@@ -287,9 +287,9 @@ REG.add("score_feedback", lambda part, events: feedback(part.select(F.col("p_par
 
 
 def effective_retention(importance: Column, sensitivity: Column, base: Column) -> Column:
-    """NUM4: a base retention moved by importance and held above the sensitivity's least, at most 1."""
-    least = N.looked_up(sensitivity, {k: v[0] for k, v in N.SENSITIVITIES.items()}, 0.85)
-    return F.least(F.greatest(base * (0.5 + importance), least * base), F.lit(1.0))
+    """NUM4: a base retention times half plus half the importance and the sensitivity's factor, in 0.1 to 0.95."""
+    factor = N.looked_up(sensitivity, N.RETENTION_FACTORS, 1.0)
+    return F.least(F.greatest(base * (0.5 + importance * 0.5) * factor, F.lit(0.1)), F.lit(0.95))
 
 
 def divergence(similarity: Column, total: int = STEPS, least: float = 0.85, mult: float = 0.8, penalty: float = 0.1) -> dict[str, Column]:
@@ -340,7 +340,7 @@ def cosine_grade(cosine: Column, scale: str = "pipeline") -> Column:
     return F.when(cosine >= a, "Excellent").when(cosine >= b, "Good").when(cosine >= c, "Acceptable").when(cosine >= d, "Degraded").otherwise("Poor")
 
 
-REG.add("retention_clamp", _over_layers(lambda t: t.select("id", F.round(effective_retention(*N.heuristic_importance(F.col("layer")), F.lit(0.6)), 6).alias("retention"))), f"WITH {LAYERS}, {NAMED} SELECT id, round(least(greatest(0.6::DOUBLE * (0.5 + importance), {lookup_sql('sensitivity', {k: v[0] for k, v in N.SENSITIVITIES.items()}, 0.85)} * 0.6::DOUBLE), 1), 6) AS retention FROM named", "part")
+REG.add("retention_clamp", _over_layers(lambda t: t.select("id", F.round(effective_retention(*N.heuristic_importance(F.col("layer")), F.lit(0.6)), 6).alias("retention"))), f"WITH {LAYERS}, {NAMED} SELECT id, round(least(greatest(0.6::DOUBLE * (0.5 + importance * 0.5) * {lookup_sql('sensitivity', N.RETENTION_FACTORS, 1.0)}, 0.1), 0.95), 6) AS retention FROM named", "part")
 REG.add("divergence_steps", lambda part: part.select(F.col("p_partkey").alias("id"), *[v.alias(k) for k, v in divergence(0.5 + F.col("p_size") / 100.0).items()]), f"WITH s AS (SELECT p_partkey AS id, 0.5 + p_size / 100.0::DOUBLE AS sim FROM part), d AS (SELECT id, sim, greatest(least(round(pow((sim - 0.85::DOUBLE) / (1 - 0.85::DOUBLE), 0.7::DOUBLE) * {STEPS} * 0.8::DOUBLE), {STEPS - 2}), 1) AS step FROM s WHERE sim >= 0.85::DOUBLE) SELECT s.id, CAST(step AS INT) AS step, round(1 - (1 - d.sim) * 0.1::DOUBLE * (step / {STEPS}), 6) AS quality, round(d.sim * (1 - step / {STEPS} * 0.3::DOUBLE), 6) AS confidence, round(step / {STEPS} * 100, 6) AS saved_percent FROM s LEFT JOIN d ON s.id = d.id", "part")
 REG.add(
     "quality_curves",

@@ -163,12 +163,14 @@ _E = "n AS (SELECT i FROM range(11) r(i)), e0 AS (SELECT 'ring' AS kind, i AS a,
 REG.add("topologies", topologies, f"WITH RECURSIVE {_E}, d AS (SELECT DISTINCT kind, i AS s, i AS v, 0 AS h FROM n, (SELECT DISTINCT kind FROM e) k UNION SELECT d.kind, s, e.b, h + 1 FROM d JOIN e ON d.kind = e.kind AND d.v = e.a WHERE h < 10), m AS (SELECT kind, s, v, min(h) AS h FROM d GROUP BY 1, 2, 3) SELECT kind, CAST((SELECT count(*) // 2 FROM e WHERE e.kind = m.kind) AS INT) AS links, max(h) AS diameter, count(*) = 121 AS connected FROM m GROUP BY kind", "region")
 REG.add("node_distances", node_distances, "SELECT CAST(a AS INT) AS a, CAST(b AS INT) AS b, CAST(least((b + 11 - a) % 11, (a + 11 - b) % 11) AS INT) AS ring, CAST(abs(a // 4 - b // 4) + abs(a % 4 - b % 4) AS INT) AS manhattan FROM range(11) x(a), range(11) y(b)", "region")
 
-# Previews, messages and schedules. Progress from which on a quality holds.
-QUALITY_FROM = ((0.0, "Thumbnail"), (0.3, "Low"), (0.6, "Medium"), (0.9, "High"))
+# Previews, messages and schedules. Progress from which on a quality holds, milliseconds to make one.
+QUALITY_FROM = ((0.0, "Thumbnail"), (0.3, "Low"), (0.6, "Medium"), (0.9, "Full"))
+DECODE_MS = {"Thumbnail": 5, "Low": 20, "Medium": 50, "Full": 150}
 
 
-def previews(spark: SparkSession, total: int = 30, interval: int = 4, fixed: tuple[int, ...] = (3, 9, 27)) -> DataFrame:
-    """STM7: (mode, step, quality, priority): steps at which a preview is shown by mode; the last one has full quality."""
+def previews(spark: SparkSession, total: int = 30, interval: int = 4, fixed: tuple[int, ...] | None = None) -> DataFrame:
+    """STM7: (mode, step, quality, priority): steps at which a preview is shown by mode; the last one has full quality. Fixed steps are the ends and the quarters unless given."""
+    fixed = fixed or (0, total // 4, total // 2, 3 * total // 4, total)
     s = spark.range(total + 1).select(F.col("id").cast("int").alias("step"))
     p, last = F.col("step") / float(total), F.col("step") == total
     every = F.when(p < 0.2, 2).when(p < 0.7, 5).otherwise(3)
@@ -182,14 +184,16 @@ def previews(spark: SparkSession, total: int = 30, interval: int = 4, fixed: tup
 
 
 def preview_summary(p: DataFrame, total: int = 30) -> DataFrame:
-    """STM7: per mode: previews, mean distance between them, and how many are of full quality."""
+    """STM7: per mode: previews, mean distance between them, and how many are of full quality, and the time they take as a percentage of steps of 100 ms."""
+    from quern.functions.names import looked_up
+
     n = F.count(F.lit(1))
-    return p.groupBy("mode").agg(n.alias("previews"), F.round(F.when(n > 1, total / (n - 1)).otherwise(float(total)), 6).alias("interval"), F.count_if(F.col("quality") == "Full").alias("full"))
+    return p.groupBy("mode").agg(n.alias("previews"), F.round(F.when(n > 1, total / (n - 1)).otherwise(float(total)), 6).alias("interval"), F.count_if(F.col("quality") == "Full").alias("full"), F.round(F.sum(looked_up(F.col("quality"), DECODE_MS)) / (total * 100) * 100, 6).alias("overhead"))
 
 
-_PV = "s AS (SELECT step, step / 30.0::DOUBLE AS p FROM range(31) r(step)), v AS (SELECT mode, step, p FROM s, (VALUES ('every'), ('interval'), ('fixed'), ('adaptive'), ('thumbnail'), ('final')) m(mode) WHERE CASE mode WHEN 'interval' THEN step % 4 = 0 OR step = 30 WHEN 'fixed' THEN step IN (3, 9, 27) WHEN 'adaptive' THEN step % CASE WHEN p < 0.2 THEN 2 WHEN p < 0.7 THEN 5 ELSE 3 END = 0 OR step = 30 WHEN 'final' THEN step = 30 ELSE TRUE END), pv AS (SELECT mode, CAST(step AS INT) AS step, CASE WHEN step = 30 THEN 'Full' WHEN mode = 'thumbnail' THEN 'Thumbnail' WHEN p >= 0.9 THEN 'High' WHEN p >= 0.6 THEN 'Medium' WHEN p >= 0.3 THEN 'Low' ELSE 'Thumbnail' END AS quality, CAST(CASE WHEN step = 30 THEN 255 ELSE floor(p * 200) END AS INT) AS priority FROM v)"
+_PV = "s AS (SELECT step, step / 30.0::DOUBLE AS p FROM range(31) r(step)), v AS (SELECT mode, step, p FROM s, (VALUES ('every'), ('interval'), ('fixed'), ('adaptive'), ('thumbnail'), ('final')) m(mode) WHERE CASE mode WHEN 'interval' THEN step % 4 = 0 OR step = 30 WHEN 'fixed' THEN step IN (0, 7, 15, 22, 30) WHEN 'adaptive' THEN step % CASE WHEN p < 0.2 THEN 2 WHEN p < 0.7 THEN 5 ELSE 3 END = 0 OR step = 30 WHEN 'final' THEN step = 30 ELSE TRUE END), pv AS (SELECT mode, CAST(step AS INT) AS step, CASE WHEN step = 30 THEN 'Full' WHEN mode = 'thumbnail' THEN 'Thumbnail' WHEN p >= 0.9 THEN 'Full' WHEN p >= 0.6 THEN 'Medium' WHEN p >= 0.3 THEN 'Low' ELSE 'Thumbnail' END AS quality, CAST(CASE WHEN step = 30 THEN 255 ELSE floor(p * 200) END AS INT) AS priority FROM v)"
 REG.add("preview_schedule", lambda r: previews(r.sparkSession), f"WITH {_PV} SELECT * FROM pv", "region")
-REG.add("preview_summary", lambda r: preview_summary(previews(r.sparkSession)), f"WITH {_PV} SELECT mode, count(*) AS previews, round(CASE WHEN count(*) > 1 THEN 30 / (count(*) - 1) ELSE 30 END, 6) AS interval, count(*) FILTER (quality = 'Full') AS full FROM pv GROUP BY 1", "region")
+REG.add("preview_summary", lambda r: preview_summary(previews(r.sparkSession)), f"WITH {_PV} SELECT mode, count(*) AS previews, round(CASE WHEN count(*) > 1 THEN 30 / (count(*) - 1) ELSE 30 END, 6) AS interval, count(*) FILTER (quality = 'Full') AS full, round(sum(CASE quality WHEN 'Thumbnail' THEN 5 WHEN 'Low' THEN 20 WHEN 'Medium' THEN 50 ELSE 150 END) / 3000 * 100, 6) AS overhead FROM pv GROUP BY 1", "region")
 
 
 def messages(turns: DataFrame) -> DataFrame:

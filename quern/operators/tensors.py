@@ -538,8 +538,17 @@ def vector_quantised(vectors: DataFrame) -> DataFrame:
 _LV = "SELECT vec_id, pos, v - trunc(v / (max(abs(v)) OVER p / 120)) * (max(abs(v)) OVER p / 120) AS v FROM {} WINDOW p AS (PARTITION BY vec_id)"
 REG.add("vector_quantised", vector_quantised, _A + f", r AS (SELECT l.vec_id, l.pos, a.code, l.v - c.c AS r, max(abs(l.v - c.c)) OVER (PARTITION BY l.vec_id) / 127 AS s FROM l JOIN a USING (vec_id) JOIN c ON c.code = a.code AND c.pos = l.pos), e AS (SELECT vec_id, any_value(code) AS code, avg(r * r) AS mse, avg(CASE WHEN s * 127 < 1e-6 THEN r * r ELSE (r - trunc(least(greatest(r / s, -127), 127)) * s) ** 2 END) AS rest FROM r GROUP BY 1), l1 AS ({_LV.format('l')}), l2 AS ({_LV.format('l1')}) SELECT e.vec_id, code, round(mse, 8) AS mse, round(rest, 9) AS residual_mse, round((SELECT avg(v * v) FROM l1 WHERE l1.vec_id = e.vec_id), 9) AS level1, round((SELECT avg(v * v) FROM l2 WHERE l2.vec_id = e.vec_id), 12) AS level2 FROM e", "embeddings")
 
-# Q7, fixed by this library: codes and places a block of each kind of layer.
-REGISTRY = {"AttentionQK": (256, 8), "AttentionVO": (512, 8), "FFN": (256, 16), "Normalization": (64, 4), "Embedding": (256, 16), "OutputHead": (512, 8)}
+# Q7, fixed values: codes, places a block, bits of an index and subspaces of each kind of layer.
+REGISTRY = {"AttentionQK": (4096, 64, 12, 1), "AttentionVO": (8192, 64, 13, 1), "FFN": (2048, 128, 11, 2), "Normalization": (256, 32, 8, 1), "Embedding": (2048, 128, 11, 2), "OutputHead": (8192, 64, 13, 1)}
+
+
+def codebook_registry(spark) -> DataFrame:
+    """Q7: (layer_type, codes, dim, bits, subspaces, ratio): the default codebook of each kind of layer, and how many times smaller than 32-bit floats its indices of 16 bits are."""
+    rows = [(k, *v, v[1] * 32 / 16) for k, v in REGISTRY.items()]
+    return spark.createDataFrame(rows, "layer_type string, codes int, dim int, bits int, subspaces int, ratio double")
+
+
+REG.add("codebook_registry", lambda r: codebook_registry(r.sparkSession), "SELECT layer_type, CAST(codes AS INT) AS codes, CAST(dim AS INT) AS dim, CAST(log2(codes) AS INT) AS bits, CAST(CASE WHEN dim > 64 THEN 2 ELSE 1 END AS INT) AS subspaces, dim * 2.0::DOUBLE AS ratio FROM (VALUES ('AttentionQK', 4096, 64), ('AttentionVO', 8192, 64), ('FFN', 2048, 128), ('Normalization', 256, 32), ('Embedding', 2048, 128), ('OutputHead', 8192, 64)) v(layer_type, codes, dim)", "region")
 
 
 def decoded(codes: DataFrame, book: DataFrame, dim: int) -> DataFrame:
