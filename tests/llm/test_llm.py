@@ -336,37 +336,6 @@ def test_op4_links_in_crowded_and_light_buckets(spark, segments):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
 
 
-@pytest.mark.parametrize("light", [64, 3])
-def test_near_dedup_links_by_similarity(spark, monkeypatch, light):
-    """Chains and groups of edited copies among others, against all pairs; with LIGHT of 3 nearly every group is crowded."""
-    monkeypatch.setattr(simhash, "LIGHT", light)
-    rng = random.Random(21)
-    rows = []
-    for _ in range(6):
-        base = _prose(rng, rng.randint(30, 120))
-        for _ in range(rng.randint(2, 12)):
-            copy = list(base)
-            for _ in range(rng.randint(0, 3)):
-                copy[rng.randrange(len(copy))] = f"x{rng.randrange(10**6)}"
-            rows.append(copy if rng.random() < 0.8 else copy[: rng.randint(5, len(copy))])
-            if rng.random() < 0.3:
-                base = copy
-    rows += [_prose(rng, 40) for _ in range(20)] + [["one"], ["two", "words"], ["ONE"]]
-    sets = [{tuple(w.lower() for w in r[i : i + 5]) for i in range(max(len(r) - 4, 1))} for r in rows]
-    left, want = set(range(len(rows))), []
-    while left:
-        seen, todo = set(), [min(left)]
-        while todo:
-            x = todo.pop()
-            if x in left:
-                left.discard(x)
-                seen.add(x)
-                todo += [y for y in left if len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y])]
-        want.append(min(seen))
-    docs = spark.createDataFrame([(i, " ".join(r)) for i, r in enumerate(rows)], "doc_id long, text string")
-    assert sorted(r["doc_id"] for r in simhash.near_dedup(docs).collect()) == sorted(want)
-
-
 def test_op4_edges(edge, empty):
     got = simhash.assign(with_extra(edge)).collect()
     assert len(got) == 8 and {r["component_id"] for r in got if r["doc_id"] in (1, 2)} == {1}
