@@ -141,14 +141,18 @@ def shape_of(links: DataFrame, n: int) -> DataFrame:
 
 
 def topologies(region: DataFrame, n: int = 11) -> DataFrame:
-    """D4, JOIN14: (kind, links, diameter, connected) of each topology over n nodes."""
-    spark, out = region.sparkSession, None
+    """D4, JOIN14: (kind, links, diameter, connected) of each topology over n nodes; one graph of all kinds, so that levels are walked together."""
+    from quern.sources.containers import stored
+
+    spark, links = region.sparkSession, None
     for kind in ("ring", "mesh", "full", "tree", "hierarchical"):
-        e = edges(spark, kind, n)
-        links = int(e.count() // 2)
-        part = shape_of(e, n).select(F.lit(kind).alias("kind"), F.lit(links).alias("links"), "diameter", "connected")
-        out = part if out is None else out.union(part)
-    return out
+        named = edges(spark, kind, n).select(*[F.concat(F.lit(f"{kind}:"), F.col(c).cast("string")).alias(c) for c in "ab"])
+        links = named if links is None else links.union(named)
+    links = stored(links, "links")
+    kind = F.substring_index("start", ":", 1).alias("kind")
+    far = distances(links, links.select(F.col("a").alias("start")).distinct()).groupBy(kind).agg(F.max("hops").alias("diameter"), (F.count(F.lit(1)) == n * n).alias("connected"))
+    count = links.groupBy(F.substring_index("a", ":", 1).alias("kind")).agg((F.count(F.lit(1)) / 2).cast("int").alias("links"))
+    return far.join(count, "kind").select("kind", "links", "diameter", "connected")
 
 
 def node_distances(region: DataFrame, n: int = 11) -> DataFrame:
