@@ -19,7 +19,9 @@ its first holder is taken. Either way each window gets its first occurrence in
 all documents: nothing is matched pairwise, and an earlier holder of a part of a
 passage hides no later one of the whole. Spans that agree with one copy at one
 offset are joined into runs. Words in windows that occurred before are repeated;
-their first occurrence stays.
+their first occurrence stays. A line that a document repeats over and over gives
+it one stretch at many places: these are gathered before they meet the first
+occurrences, so that a document's stretch is joined once.
 
 Windows are compared by 128 bits of two polynomial hashes with different bases,
 so that of 10^12 different windows two are alike with a chance of 10^-15; seeds
@@ -34,7 +36,7 @@ without_repeats passes other columns through whole, whatever their names.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -193,7 +195,10 @@ def _windows(docs: DataFrame, asks: DataFrame) -> DataFrame:
 
 
 def _agreements(docs: DataFrame) -> DataFrame:
-    """(doc, start, end, first, first_start): spans of LENGTH words and more that agree with the first occurrence of their windows. Several actions."""
+    """(doc, starts, parts): where a document has a stretch, and the parts (first, base, lo, hi) of it that agree with the first occurrence of their windows; see ``_spans``. Several actions.
+
+    A stretch has STEP parts at most, and its places lie in one document.
+    """
     live = live_suffixes(cut(suffixes(docs)))
     me = F.struct(*DOC, "start")
     # Tables, so that the joins below can be split where one key is everywhere.
@@ -201,14 +206,30 @@ def _agreements(docs: DataFrame) -> DataFrame:
     seeds = cut(classes.groupBy("seed").agg((F.count(F.lit(1)) == 1).alias("alike")))
     classes = cut(classes.join(seeds, "seed"))
     doc = F.struct(*DOC)
+    part = F.struct("first", "base", "lo", "hi")
     alike = classes.where("alike and more").select("k1", "k2", F.lit(0).alias("lo"), (F.col("windows") - 1).alias("hi"), F.struct(*[F.col(f"first.{c}") for c in DOC]).alias("first"), F.col("first.start").alias("base"))
     each = cut(_windows(docs, classes.where("not alike").select("k1", "k2", "first.*", "windows")))
     firsts = cut(each.groupBy("w1", "w2").agg(F.min(F.struct(*DOC, "at")).alias("f")))
     parts = each.join(firsts, ["w1", "w2"]).groupBy("k1", "k2", F.struct(*[F.col(f"f.{c}") for c in DOC]).alias("first"), (F.col("f.at") - F.col("nth")).alias("base")).agg(F.min("nth").alias("lo"), F.max("nth").alias("hi"))
-    parts = cut(alike.unionByName(parts))
-    hits = live.join(parts, ["k1", "k2"]).select(doc.alias("doc"), (F.col("start") + F.col("lo")).alias("start"), (F.col("start") + F.col("hi") + LENGTH).alias("end"), "first", (F.col("base") + F.col("lo")).alias("first_start"))
-    # Repeated rows of one document give repeated spans, which go before anything is gathered by document.
-    return hits.where((F.col("doc") != F.col("first")) | (F.col("start") >= F.col("first_start") + LENGTH)).distinct()
+    parts = cut(alike.select("k1", "k2", F.array(part).alias("parts")).unionByName(parts.groupBy("k1", "k2").agg(F.collect_list(part).alias("parts"))))
+    # Repeated rows of one document give repeated places, of which the set holds one.
+    held = live.groupBy("k1", "k2", *DOC).agg(F.collect_set("start").alias("starts")).select("k1", "k2", doc.alias("doc"), "starts")
+    last = F.array_max("starts")
+    return held.join(parts, ["k1", "k2"]).where(F.exists("parts", lambda p: _apart(last, p))).select("doc", "starts", "parts")
+
+
+def _apart(start: Column, part: Column) -> Column:
+    """Whether a span from there is no first occurrence itself and doesn't overlap with its own."""
+    return (F.col("doc") != part["first"]) | (start >= part["base"] + LENGTH)
+
+
+def _spans(span: Callable[[Column, Column], Column]) -> Column:
+    """``span(start, part)`` of all places and parts in a row of ``_agreements`` that are apart."""
+    return F.flatten(F.transform("parts", lambda p: F.transform(F.filter("starts", lambda s: _apart(s, p)), lambda s: span(s, p))))
+
+
+def _ends(start: Column, part: Column) -> list[Column]:
+    return [(start + part["lo"]).alias("start"), (start + part["hi"] + LENGTH).alias("end")]
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
@@ -219,7 +240,8 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     copy = ["doc", "first", "offset"]
     along = Window.partitionBy(*copy).orderBy("start", "end")
     before = F.max("end").over(along.rowsBetween(Window.unboundedPreceding, -1))
-    runs = _agreements(docs).withColumn("offset", F.col("start") - F.col("first_start")).withColumn("new", (F.col("start") > F.coalesce(before, F.lit(-1))).cast("int"))
+    spans = _agreements(docs).select("doc", F.explode(_spans(lambda s, p: F.struct(*_ends(s, p), p["first"].alias("first"), (p["base"] + p["lo"]).alias("first_start")))).alias("span"))
+    runs = spans.select("doc", "span.*").withColumn("offset", F.col("start") - F.col("first_start")).withColumn("new", (F.col("start") > F.coalesce(before, F.lit(-1))).cast("int"))
     runs = runs.withColumn("run", F.sum("new").over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     out = runs.groupBy(*copy, "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("first_start").alias("first_start"))
     return out.select("doc", "start", "end", "first", "first_start")
@@ -227,7 +249,8 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated passages cut out; n_chars follows. Documents of which nothing but white space is left go. Several actions."""
-    spans = repeated_passages(docs).groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans")).select("doc.*", "spans")
+    # Which copy a span agrees with doesn't matter here, so runs aren't made of them.
+    spans = _agreements(docs).select("doc", _spans(lambda s, p: F.struct(*_ends(s, p))).alias("spans")).groupBy("doc").agg(F.flatten(F.collect_list("spans")).alias("spans")).select("doc.*", "spans")
 
     def cut_out(texts: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([None if s is None else excise(t, [(x["start"], x["end"]) for x in s]) for t, s in zip(texts, spans, strict=True)], dtype=object)

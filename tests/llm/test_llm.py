@@ -230,6 +230,35 @@ def test_op2_random_texts_of_few_words(spark):
             spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+def _joined_rows(spark, run):
+    """The most rows that one join made while ``run`` ran, and its result."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before, out, most = store.executionsCount(), run(), 0
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    done = store.executionsList()
+    for i in range(before, done.size()):
+        at = done.apply(i).executionId()
+        values, nodes = store.executionMetrics(at), store.planGraph(at).allNodes()
+        for node in map(nodes.apply, range(nodes.size())):
+            for m in map(node.metrics().apply, range(node.metrics().size())):
+                if "Join" in node.name() and m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                    most = max(most, int(values.apply(m.accumulatorId()).replace(",", "")))
+    return most, out
+
+
+def test_op2_a_line_over_and_over_is_joined_once_a_document(spark):
+    """Each document repeats one line 60 times between words of its own: joins make rows by document, not by place, and the same words go."""
+    rng = random.Random(17)
+    line = _prose(rng, 12)
+    for n in (40, 80):
+        rows = [(i, " ".join(_prose(rng, 20) + line * 60 + _prose(rng, 20))) for i in range(n)]
+        docs, want = spark.createDataFrame(rows, "doc_id long, text string"), _marked(rows)
+        most, left = _joined_rows(spark, suffix_dedup.without_repeats(docs).collect)
+        assert 0 < most <= 10 * n
+        assert {r["doc_id"]: r["text"].split() for r in left} == {d: [w for i, w in enumerate(t.split()) if i not in want[d]] for d, t in rows}
+        assert _reported(spark, rows) == want
+
+
 def test_op2_ids_blanks_and_repeated_rows(spark):
     """Null ids are documents by text, the greatest id is an id, repeated rows are one document, blank remainders go."""
     rng = random.Random(16)
